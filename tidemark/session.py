@@ -18,6 +18,7 @@ def local_session(app: str = "tidemark", cores: str = "8", partitions: int = 8)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEM", "12g"))
         .config("spark.driver.maxResultSize", "2g")
         .getOrCreate()
