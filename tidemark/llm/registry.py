@@ -1,7 +1,7 @@
 """Queries and SQL of the subpackage."""
 
-from tidemark.llm import formatting_duplicates, frequency, nearest_time, runs
+from tidemark.llm import formatting_duplicates, frequency, nearest_time, runs, vectors
 
-_ALL = (frequency, runs, nearest_time, formatting_duplicates)
+_ALL = (frequency, vectors, runs, nearest_time, formatting_duplicates)
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _ALL for k, v in m.SQL.items()}
