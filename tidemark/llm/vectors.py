@@ -189,7 +189,7 @@ def _search_leaf(pdf: pd.DataFrame, k: int, radius: float | None) -> pd.DataFram
     return pd.concat(out) if out else pd.DataFrame({"id": np.empty(0, np.int64), "other": np.empty(0, np.int64), "distance": np.empty(0)})
 
 
-def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 10, radius: float | None = None, recall: float = 0.98, dims: int = 64, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 10, radius: float | None = None, recall: float = 0.99, dims: int = 64, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """For every usable vector the k nearest others: (id, other, distance), squared Euclidean, equal distances by smaller id.
 
     Usable is a vector of exactly `dims` finite elements that are not all zero; other rows, null ones included, neither ask nor
