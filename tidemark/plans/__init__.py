@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from tidemark.plans import p4
+    from tidemark.plans import memory, p4
 
-    return (p4,)
+    return (p4, memory)
 
 
 def core_queries() -> dict:
@@ -20,6 +20,6 @@ def core_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    from tidemark.plans import p4
+    from tidemark.plans import memory
 
-    return p4.p4_found(spark, folder)
+    return memory.knn_topk(spark, folder)
