@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, table
+from tidemark.session import cut, table, written
 
 #: Default rank file: lines of base64 bytes and rank, the rank being the id.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -126,10 +126,14 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, path: str = RANKS) ->
     def ids_of(piece: Column) -> Column:
         return _let(_bytes(piece), lambda b: _let(_look(ranks, b), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(_look(hot, b))))
 
-    known = pieces.select("id", "h", "p", F.transform("p", ids_of).alias("x"))
-    whole = known.where(~F.exists("x", lambda v: v.isNull())).select(F.col("id").alias(doc_id), F.flatten("x").alias("ids"))
-    part = known.where(F.exists("x", lambda v: v.isNull()))
-    gaps = part.select("id", "h", F.explode(F.filter(F.transform("p", lambda v, i: F.struct(i.alias("i"), F.when(F.get("x", i).isNull(), v).alias("piece"))), lambda s: s.piece.isNotNull())).alias("g")).select("id", "h", "g.i", "g.piece")
+    # Read three times below, so it is written once: the constant maps then stand in one plan only, once each.
+    open_ = F.exists("x", lambda v: v.isNull())
+    missing = F.filter(F.transform("p", lambda v, i: F.struct(i.alias("i"), F.when(F.get("x", i).isNull(), v).alias("piece"))), lambda s: s.piece.isNotNull())
+    known = pieces.select("id", "h", "p", F.transform("p", ids_of).alias("x")).select("id", "h", F.when(~open_, F.flatten("x")).alias("ids"), F.when(open_, F.col("x")).alias("x"), F.when(open_, missing).alias("g"))
+    known = written(known)
+    whole = known.where(F.col("x").isNull()).select(F.col("id").alias(doc_id), "ids")
+    part = known.where(F.col("x").isNotNull())
+    gaps = part.select("id", "h", F.explode("g").alias("g")).select("id", "h", "g.i", "g.piece")
     filled = gaps.join(coded.select("piece", "ids"), "piece").groupBy("id", "h").agg(F.collect_set(F.struct("i", "ids")).alias("c"))
     left, right = part.select("id", "h", "x"), filled.select(F.col("id").alias("fid"), F.col("h").alias("fh"), "c")
     joined = left.join(right, F.col("id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh")))
