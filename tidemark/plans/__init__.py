@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from tidemark.plans import memory, p4
+    from tidemark.plans import align, memory, p4
 
-    return (p4, memory)
+    return (p4, memory, align)
 
 
 def core_queries() -> dict:
