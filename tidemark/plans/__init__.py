@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from tidemark.plans import align, checks, memory, p4, windows
+    from tidemark.plans import align, checks, memory, p4, surface, windows
 
-    return (p4, memory, align, windows, checks)
+    return (p4, memory, align, windows, checks, surface)
 
 
 def core_queries() -> dict:

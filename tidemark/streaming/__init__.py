@@ -1 +1,41 @@
-"""Structured Streaming extensions."""
+"""Structured Streaming extensions: late and changed data by keyed replacement, and the rate limiter with state."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidemark.sources.sinks import overwrite_videos
+
+
+def replace_stream(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Each micro-batch replaces the rows of the videos it holds; a batch that is run again gives the same table."""
+    w = stream.writeStream.foreachBatch(lambda df, _: overwrite_videos(df, path)).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def windowed_counts(stream: DataFrame, at: str, key: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Events per key and window of event time, with a watermark for late ones."""
+    return stream.withWatermark(at, late).groupBy(F.window(at, width), key).agg(F.count(F.lit(1)).alias("events"))
+
+
+def rate_limited_stream(stream: DataFrame, step: float, late: str = "1 minute") -> DataFrame:
+    """The rate limiter over a stream (video_id, ts, t): within a batch in order of t, across batches by the last kept time."""
+
+    def limit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("t", kind="stable")
+        kept = []
+        for t in rows["t"]:
+            if last is None or t - last >= step:
+                kept.append(t)
+                last = t
+        if last is not None:
+            state.update((float(last),))
+        yield pd.DataFrame({"video_id": [key[0]] * len(kept), "t": kept})
+
+    return stream.withWatermark("ts", late).groupBy("video_id").applyInPandasWithState(limit, "video_id string, t double", "last double", "append", GroupStateTimeout.NoTimeout)
