@@ -25,7 +25,8 @@ def _suffixes(sequences: Column, sigma: int | None, anchored: bool) -> Column:
 def _shared(a: Column, b: Column) -> Column:
     """Number of leading terms that two sequences share; 0 when there is no first one."""
     differs = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
-    return F.when(a.isNull(), 0).otherwise(F.when(differs == 0, F.least(F.size(a), F.size(b))).otherwise(differs - 1)).cast("int")
+    both = F.least(F.size(a), F.size(b))  # beyond it the shorter one is padded with nulls, which equal null terms
+    return F.when(a.isNull(), 0).otherwise(F.when(differs == 0, both).otherwise(F.least(both.cast("long"), differs - 1))).cast("int")
 
 
 def _stack(batches: Iterator[pd.DataFrame], complete: bool) -> Iterator[pd.DataFrame]:
@@ -70,7 +71,8 @@ def _stack(batches: Iterator[pd.DataFrame], complete: bool) -> Iterator[pd.DataF
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame({"field": [r[0] for r in rows], "terms": [r[1] for r in rows], "occurrences": [r[2] for r in rows], "records": [r[3] for r in rows]})
+    kinds = {"field": object, "terms": object, "occurrences": "int64", "records": "int64"}  # also of no rows
+    return pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=kind) for i, (name, kind) in enumerate(kinds.items())})
 
 
 def prefix_counts(df: DataFrame, field: str, sequences: str, sigma: int | None = 5, anchored: bool = False, complete: bool = False, salts: int = 8) -> DataFrame:
