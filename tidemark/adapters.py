@@ -36,7 +36,8 @@ def embed(text: Column, dims: int = 384, model: Callable[[list[str], int], np.nd
             m = np.asarray(model(texts, dims) if model else [hashed_embedding(t, dims) for t in texts], np.float32)
             if m.shape != (len(texts), dims) or not np.isfinite(m).all():
                 raise ValueError("an embedder must return finite rows of the declared dimension")
-            out[known] = list(m)
+            for i, v in zip(np.flatnonzero(known), m):
+                out[i] = v
         return pd.Series(out)
 
     return work(text)
