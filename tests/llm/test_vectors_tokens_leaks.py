@@ -56,6 +56,40 @@ def test_tree_recall(spark):
     assert hits / sum(map(len, want.values())) >= 0.95
 
 
+def test_tree_recall_without_a_radius(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 16)).astype(np.float32)
+    x[3000:3040] = x[7]  # copies, more than k
+    ids = rng.permutation(9000)[:4000]
+    rows = V.nearest_vectors(table(spark, ids, x), "id", "e", 10, dims=16, leaf_rows=100).orderBy("id", "distance", "other").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.id, []).append(r.other)
+    assert set(got) == set(ids.tolist()) and all(len(v) == 10 for v in got.values())
+    want = brute(ids.tolist(), x, 10, None)
+    assert got[int(ids[7])] == want[int(ids[7])]
+    assert sum(len(set(got[i]) & set(v)) for i, v in want.items()) / 40_000 >= 0.95
+
+
+def test_groups_hold_each_leaf_once():
+    t = V.fit_tree(np.random.default_rng(6).normal(size=(2000, 4)).astype(np.float32), 20)
+    group, place = t.groups()
+    leaves = [n for n, c in enumerate(t.children) if not len(c)]
+    assert len({(group[n], place[n]) for n in leaves}) == t.leaves > V.GROUP_LEAVES and place.max() < V.GROUP_LEAVES
+
+
+def test_neighbors_of_every_vector(spark, tmp_path):
+    """p2_neighbors has ten rows for each vector, far ones too."""
+    x = np.random.default_rng(8).normal(size=(300, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "memory_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/memory_vectors.parquet")
+    got = {}
+    for r in V.p2_neighbors(spark, str(tmp_path)).orderBy("memory_id", "distance", "neighbor_id").collect():
+        got.setdefault(r.memory_id, []).append(r.neighbor_id)
+    assert got == brute(list(range(300)), x, 10, None)
+    assert V.p2_found(spark, str(tmp_path)).count() == 0
+
+
 def test_best_bins_visit_all_leaves():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 4)).astype(np.float32)

@@ -19,7 +19,9 @@ SAMPLE_ROWS = 65_536
 #: Vectors that a leaf should hold. A collection of up to four leaves' worth is one leaf and searched exactly.
 LEAF_ROWS = 1_000
 BRANCHES = 16
-#: Entries (visits) that one task of the leaf search takes at once.
+#: Leaves that are searched together: a vector that visits several of them travels there once.
+GROUP_LEAVES = 16
+#: Entries that one task of the leaf search takes at once.
 BLOCK_ROWS = 65_536
 
 
@@ -35,6 +37,19 @@ class Tree:
     def leaves(self) -> int:
         return sum(not len(c) for c in self.children)
 
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each node that is a leaf the group and its place there: leaves in the order of the tree, GROUP_LEAVES to a group."""
+        order, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            if len(self.children[node]):
+                todo.extend(self.children[node])
+            else:
+                order.append(node)
+        rank = np.zeros(len(self.children), np.int64)
+        rank[order] = np.arange(len(order))
+        return rank // GROUP_LEAVES, rank % GROUP_LEAVES
+
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2.0 * (a @ b.T), 0.0)
@@ -121,7 +136,7 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, radius: float | None, reca
         return 1
     picked = rng.choice(len(sample), min(queries, len(sample)), replace=False)
     ask, found = [], []
-    for part in np.array_split(picked, max(1, len(picked) // 250)):
+    for part in np.array_split(picked, max(1, len(picked) // 100)):
         d = _squared(sample[part], sample)
         d[np.arange(len(part)), part] = np.inf
         near = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, :k]
@@ -136,9 +151,10 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, radius: float | None, reca
         step *= (np.sqrt(radius * rng.random((len(base), 1))) / np.linalg.norm(step, axis=1, keepdims=True)).astype(np.float32)
         q, x = np.concatenate([q, base]), np.concatenate([x, base + step])
     home = best_bins(tree, x, 1)[:, 0]
+    once, at = np.unique(q, axis=0, return_inverse=True)
     visits, most = 2, tree.leaves
     while True:  # widen until the recall is reached; all leaves reach 1
-        seen = best_bins(tree, q, min(visits, most))
+        seen = best_bins(tree, once, min(visits, most))[at]
         hit = (seen == home[:, None]).cumsum(1).clip(0, 1).mean(0)
         if hit[-1] >= recall:
             return int(np.argmax(hit >= recall)) + 1
@@ -162,30 +178,60 @@ def _matrix(raw) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
 
 
-def _search_leaf(pdf: pd.DataFrame, k: int, radius: float | None) -> pd.DataFrame:
-    member = pdf["member"].to_numpy()
-    m = pdf[member].drop_duplicates("id")
+def _search_group(pdf: pd.DataFrame, k: int, radius: float | None) -> pd.DataFrame:
+    """The k nearest of each asking row among the members of the leaves it visits (bits of `mask`). A member stands in leaf `home`, others have -1."""
+    home = pdf["home"].to_numpy()
+    m = pdf[home >= 0].drop_duplicates("id").sort_values(["home", "id"], kind="stable")
     q = pdf[pdf["asks"].to_numpy()]
-    mid, qid = m["id"].to_numpy(), q["id"].to_numpy()
+    mid, mhome, qid, qmask, qhome = m["id"].to_numpy(), m["home"].to_numpy(), q["id"].to_numpy(), q["mask"].to_numpy(), q["home"].to_numpy()
     out = []
     if len(mid) and len(qid):
-        order = np.argsort(mid, kind="stable")
-        mid, mx = mid[order], _matrix(list(m["v"].array[order]))
-        qx = _matrix(list(q["v"]))
-        step = max(1, 4_000_000 // len(mid))
+        mx, qx = _matrix(list(m["v"])), _matrix(list(q["v"]))
+        # the product of (a, 1) and (b, -|b|^2 / 2) is half of |a|^2 less the squared distance: one pass over all pairs
+        mm, qq = (mx * mx).sum(1), (qx * qx).sum(1)
+        wide_m, wide_q = np.column_stack([mx, -mm / 2]), np.column_stack([qx, np.ones_like(qq)])
+        slack = (1e-4 + 1e-5 * (qq + mm.max())).astype(np.float64)
+        edges = np.searchsorted(mhome, np.arange(GROUP_LEAVES + 1))
+        step = max(1, 4_000_000 // int(np.diff(edges).max()))
         for a in range(0, len(qid), step):
-            d = _squared(qx[a : a + step], mx)
-            d[qid[a : a + step, None] == mid[None]] = np.inf
-            if radius is not None:
-                i, j = np.nonzero(d <= radius * 1.001 + 1e-4)
-            else:
-                # a margin over the k-th covers rounding; exact distances decide
-                edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                i, j = np.nonzero(np.isfinite(d) & (d <= edge[:, None] * 1.001 + 1e-4))
-            exact = ((qx[a + i].astype(np.float64) - mx[j].astype(np.float64)) ** 2).sum(1)
-            part = pd.DataFrame({"id": qid[a + i], "other": mid[j], "distance": exact})
-            part = part[part["distance"] <= radius] if radius is not None else part
-            out.append(part.sort_values(["id", "distance", "other"], kind="stable").groupby("id", sort=False).head(k))
+            block = slice(a, a + step)
+            best = np.full((len(qid[block]), k), np.inf)  # the k smallest distances so far
+            some = []
+            for leaf in np.flatnonzero(np.diff(edges)):
+                own, ask = slice(edges[leaf], edges[leaf + 1]), np.flatnonzero(qmask[block] >> leaf & 1)
+                if not len(ask):
+                    continue
+                near, size = wide_q[a + ask] @ wide_m[own].T, edges[leaf + 1] - edges[leaf]
+                here = np.flatnonzero(qhome[a + ask] == leaf)  # a vector is no neighbour of itself, and is a member of its home only
+                if len(here):
+                    at = np.minimum(np.searchsorted(mid[own], qid[a + ask[here]]), size - 1)
+                    itself = mid[own][at] == qid[a + ask[here]]
+                    near[here[itself], at[itself]] = -np.inf
+                edge = np.full(len(ask), radius) if radius is not None else best[ask, -1]
+                least = (qq[a + ask] - edge * 1.001 - slack[a + ask]) / 2  # a margin covers rounding; exact distances decide
+                new = np.flatnonzero(np.isinf(edge))
+                if len(new):
+                    kth = np.partition(near[new], max(0, size - k), axis=1)[:, max(0, size - k)]
+                    least[new] = kth - 0.0005 * np.maximum(qq[a + ask[new]] - 2 * kth, 0) - slack[a + ask[new]] / 2
+                i, j = np.nonzero(near >= np.maximum(least, np.finfo(np.float32).min).astype(np.float32)[:, None])
+                exact = ((qx[a + ask[i]].astype(np.float64) - mx[own][j].astype(np.float64)) ** 2).sum(1)
+                ok = exact <= (radius if radius is not None else best[ask[i], -1])
+                i, j, exact = i[ok], j[ok], exact[ok]
+                some.append((ask[i], mid[own][j], exact))
+                order = np.lexsort((exact, i))
+                i, exact = i[order], exact[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                more = np.full((len(ask), k), np.inf)
+                more[i[rank < k], rank[rank < k]] = exact[rank < k]
+                best[ask] = np.sort(np.concatenate([best[ask], more], 1), axis=1)[:, :k]
+            if some:
+                i, other, exact = (np.concatenate(x) for x in zip(*some))
+                ok = exact <= best[i, -1]
+                i, other, exact = i[ok], other[ok], exact[ok]
+                order = np.lexsort((other, exact, i))
+                i, other, exact = i[order], other[order], exact[order]
+                ok = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append(pd.DataFrame({"id": qid[a + i[ok]], "other": other[ok], "distance": exact[ok]}))
     return pd.concat(out) if out else pd.DataFrame({"id": np.empty(0, np.int64), "other": np.empty(0, np.int64), "distance": np.empty(0)})
 
 
@@ -198,8 +244,8 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 10, radius
 
     Method: a k-means tree is fitted on a bounded sample and deepened where the sample is dense, so a leaf holds about `leaf_rows`
     whatever the density; the number of leaves to visit is widened on the sample until `recall` is reached. Each vector is sent to its
-    first leaf as a member and to all its leaves as a question; leaves are searched by matrix products with exact distances for what
-    is near. Of equal vectors only the k + 1 smallest ids enter the tree: whatever is near to one of them has its k nearest among
+    first leaf as a member and to all its leaves as a question, once to each group of neighbouring leaves; leaves are searched by matrix
+    products with exact distances for what is near. Of equal vectors only the k + 1 smallest ids enter the tree: whatever is near to one of them has its k nearest among
     those. The others take their neighbours, the k smallest ids of their copies, by a lookup that splits hot keys.
     """
     spark = df.sparkSession
@@ -216,21 +262,28 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 10, radius
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
+        group, place = t.groups()
         for b in batches:
             for a in range(0, b.num_rows, 2_048):
                 c = b.slice(a, 2_048)
                 bins = best_bins(t, _matrix(c.column(1).to_pylist()), t.visits)
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([r[r >= 0] for r in bins], pa.list_(pa.int32()))], names=["id", "v", "leaves"])
-
-    visits = cut(heads.select("id", "v").mapInArrow(visit, "id long, v binary, leaves array<int>"))
-    asked = visits.select("id", F.posexplode("leaves").alias("at", "leaf"))
-    crowd = asked.groupBy("leaf").count().withColumn("parts", F.ceil(F.col("count") / BLOCK_ROWS).cast("int")).where("parts > 1").select("leaf", "parts")
-    entries = visits.select("id", "v", F.posexplode("leaves").alias("at", "leaf")).join(F.broadcast(crowd), "leaf", "left")  # fewer rows than leaves
+                row, at = np.nonzero(bins >= 0)
+                masks = np.zeros((len(bins), int(group.max()) + 1), np.int32)
+                np.add.at(masks, (row, group[bins[row, at]]), np.int32(1) << place[bins[row, at]].astype(np.int32))
+                row, to = np.nonzero(masks)
+                ends = pa.array(np.searchsorted(row, np.arange(len(bins) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (to, masks[row, to])]
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), *lists, pa.array(group[bins[:, 0]], pa.int32()), pa.array(place[bins[:, 0]], pa.int32())], names=["id", "v", "groups", "masks", "at", "place"])
+
+    visits = cut(heads.select("id", "v").mapInArrow(visit, "id long, v binary, groups array<int>, masks array<int>, at int, place int"))
+    entries = visits.select("id", "v", "at", "place", F.explode(F.arrays_zip(F.col("groups").alias("group"), F.col("masks").alias("mask"))).alias("x")).select("id", "v", "x.group", "x.mask", F.when(F.col("x.group") == F.col("at"), F.col("place")).otherwise(-1).alias("home"))
+    crowd = entries.groupBy("group").count().withColumn("parts", F.ceil(F.col("count") / BLOCK_ROWS).cast("int")).where("parts > 1").select("group", "parts")
+    entries = entries.join(F.broadcast(crowd), "group", "left")  # fewer rows than leaves
     own = F.pmod(F.col("id"), F.coalesce("parts", F.lit(1))).cast("int")
-    # a member goes to all parts of a crowded leaf, but asks in one of them
-    placed = entries.select("leaf", "id", "v", F.explode(F.when(F.col("at") == 0, F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array(own))).alias("part"), (F.col("at") == 0).alias("member"), own.alias("own"))
-    placed = placed.select("leaf", "part", "id", "v", "member", (F.col("part") == F.col("own")).alias("asks"))
-    near = placed.groupBy("leaf", "part").applyInPandas(lambda pdf: _search_leaf(pdf, k, radius), "id long, other long, distance double")
+    # a member goes to all parts of a crowded group, but asks in one of them
+    placed = entries.select("group", "id", "v", "mask", "home", F.explode(F.when(F.col("home") >= 0, F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array(own))).alias("part"), own.alias("own"))
+    placed = placed.select("group", "part", "id", "v", "mask", "home", (F.col("part") == F.col("own")).alias("asks"))
+    near = placed.groupBy("group", "part").applyInPandas(lambda pdf: _search_group(pdf, k, radius), "id long, other long, distance double")
     best = Window.partitionBy("id").orderBy("distance", "other")
     found = near.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).drop("rn")
     # the remaining copies
@@ -246,8 +299,8 @@ K, RADIUS = 10, 0.15
 
 
 def p2_neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    """Up to ten nearest vectors of every memory row, those at a squared distance of at most 0.15."""
-    return nearest_vectors(table(spark, folder, "memory_vectors"), "memory_id", "embedding", K, RADIUS).select(F.col("id").alias("memory_id"), F.col("other").alias("neighbor_id"), F.round("distance", 6).alias("distance"))
+    """The ten nearest vectors of every memory row, however far."""
+    return nearest_vectors(table(spark, folder, "memory_vectors"), "memory_id", "embedding", K).select(F.col("id").alias("memory_id"), F.col("other").alias("neighbor_id"), F.round("distance", 6).alias("distance"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
