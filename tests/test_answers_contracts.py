@@ -1,11 +1,17 @@
 """Model answers, policy and contracts: the literal fixtures."""
 
 import json
+import os
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import contracts as C
 from tidemark.operators import hypotheses as H
+from tidemark.plans import checks
+
+FOLDER = "/root/testdata/sf0.01"
 
 IDS, PTS = [f"f{i}.jpg" for i in range(4)], [0.0, 1.0, 2.0, 3.0]
 
@@ -104,3 +110,23 @@ def test_sources_and_runs(spark):
     assert got["a"] == [] and "present" in got["b"]
     j = spark.createDataFrame([("r", 1, "running", 0), ("r", 2, "completed", 3), ("s", 1, "running", 2), ("s", 2, "failed_or_interrupted", 1)], "run_id string, seq long, event string, generation long")
     assert {x.run_id: (x.on_start, x.generation_falls) for x in C.run_state(j).collect()} == {"r": ("return_stored", False), "s": ("refuse", True)}
+
+
+def test_firewall_finds_every_part_of_a_label(spark):
+    w = [f"w{i}" for i in range(20)]
+    labels = spark.createDataFrame([(" ".join(w),), ("Lift the Pan!",), ("...",), (None,)], "text string")
+    texts = {1: w[:8], 2: w[6:14], 3: w[12:], 4: w[:7] + ["x"] + w[7:14], 5: ["a", "lift", "THE", "pan", "b"], 6: ["lift", "pan"], 7: ["the"], 8: []}
+    docs = spark.createDataFrame([(i, ", ".join(t)) for i, t in texts.items()] + [(9, None)], "doc_id long, text string")
+    assert {r.doc_id for r in C.label_leaks(labels, docs).collect()} == {1, 2, 3, 5}
+    assert C.label_leaks(labels.where("text = '...'"), docs).count() == 0 == C.label_leaks(labels, docs.limit(0)).count()
+
+
+@pytest.mark.skipif(not os.path.exists(FOLDER), reason="no test tables")
+def test_firewall_equals_plain_reading(spark):
+    """All 8-word runs of the items, and the shorter items whole, looked for one by one."""
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "eval_items"))
+    runs = {tuple(w[i : i + 8]) for w in (words(r.text) for r in items.collect() if r.text) for i in range(max(1, len(w) - 7)) if w}
+    lengths = {len(x) for x in runs}
+    want = {r.doc_id for r in docs.collect() if r.text for w in [words(r.text)] if any(tuple(w[i : i + n]) in runs for n in lengths for i in range(len(w) - n + 1))}
+    assert {r.doc_id for r in checks.label_firewall(spark, FOLDER).collect()} == want and want

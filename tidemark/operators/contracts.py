@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clock_seconds, https_url, nonblank, overlaps_open, safe_id, sha256_hex
 from tidemark.operators.intervals import finite
+from tidemark.session import cut
 
 # Bounds of manifests.
 MAX_CLIP_SECONDS, MAX_SOURCE_BYTES, MAX_RECORDS = 120.0, 256 * 1024 * 1024, 10
@@ -74,14 +75,23 @@ def clip_references(annotations: DataFrame, records: DataFrame) -> tuple[DataFra
 
 
 def label_leaks(labels: DataFrame, corpus: DataFrame, text: str = "text", width: int = 8) -> DataFrame:
-    """Corpus rows (doc_id) that hold the first `width` words of a label in a row: a firewall between evaluation and inputs. Words are
-    runs of letters and digits, lower-cased; shorter labels do not count. Both sides meet on hashes of word windows, not on all pairs."""
+    """Corpus rows (doc_id) that hold any `width` words in a row of a label, or all words of a shorter one: a firewall between evaluation
+    and inputs. Words are runs of letters and digits, lower-cased; labels without words do not count. Both sides meet on hashes of word
+    windows, not on all pairs."""
     words = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower)
-    named = lambda df: df.where(F.col(text).isNotNull()).withColumn("w", words(F.col(text))).where(F.size("w") >= width)
-    wanted = named(labels).select(F.xxhash64(F.slice("w", 1, width)).alias("h"), F.hash(F.slice("w", 1, width)).alias("g")).distinct()
-    windows = F.transform(F.sequence(F.lit(1), F.size("w") - (width - 1)), lambda i: F.struct(F.xxhash64(F.slice("w", i, width)).alias("h"), F.hash(F.slice("w", i, width)).alias("g")))
-    pieces = named(corpus).select("doc_id", F.explode(windows).alias("x")).select("doc_id", "x.*")
-    return pieces.join(F.broadcast(wanted) if wanted.count() <= 10_000 else wanted, ["h", "g"], "left_semi").select("doc_id").distinct()
+    named = lambda df: df.where(F.col(text).isNotNull()).withColumn("w", words(F.col(text))).where(F.size("w") > 0)
+    size = F.size("w")
+
+    def windows(n: Column) -> Column:
+        at = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(n.alias("n"), F.xxhash64(F.slice("w", i, n)).alias("h"), F.hash(F.slice("w", i, n)).alias("g")))
+
+    wanted = cut(named(labels).select(F.explode(windows(F.least(size, F.lit(width)))).alias("x")).select("x.*").distinct())
+    lengths = sorted(r.n for r in wanted.select("n").distinct().collect())  # at most `width` numbers
+    if not lengths:
+        return corpus.select("doc_id").limit(0)
+    pieces = named(corpus).select("doc_id", F.explode(F.concat(*[windows(F.lit(n)) for n in lengths])).alias("x")).select("doc_id", "x.*")
+    return pieces.join(F.broadcast(wanted) if wanted.count() <= 10_000 else wanted, ["n", "h", "g"], "left_semi").select("doc_id").distinct()
 
 
 def run_state(journal: DataFrame) -> DataFrame:
