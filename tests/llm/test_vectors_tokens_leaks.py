@@ -71,6 +71,20 @@ def test_tree_recall_without_a_radius(spark):
     assert sum(len(set(got[i]) & set(v)) for i, v in want.items()) / 40_000 >= 0.95
 
 
+def test_calibration_rests_on_real_pairs():
+    """Real pairs are a whole radius apart and few; displaced vectors are nearer and would ask for fewer visits."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(12_000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = rng.normal(size=(350, 16)).astype(np.float32)
+    x[-350:] = x[:350] + step * np.float32(np.sqrt(0.149)) / np.linalg.norm(step, axis=1, keepdims=True)
+    t = V.fit_tree(x, 150)
+    visits = V.calibrate(t, x, 10, 0.15, 0.99)
+    i, j = np.concatenate([np.arange(350), np.arange(11_650, 12_000)]), np.concatenate([np.arange(11_650, 12_000), np.arange(350)])
+    hit = (V.best_bins(t, x[i], visits) == V.best_bins(t, x[j], 1)).any(1).mean()
+    assert hit >= 0.98
+
+
 def test_groups_hold_each_leaf_once():
     t = V.fit_tree(np.random.default_rng(6).normal(size=(2000, 4)).astype(np.float32), 20)
     group, place = t.groups()

@@ -19,6 +19,8 @@ SAMPLE_ROWS = 65_536
 #: Vectors that a leaf should hold. A collection of up to four leaves' worth is one leaf and searched exactly.
 LEAF_ROWS = 1_000
 BRANCHES = 16
+#: Real pairs within a radius on which the visits are calibrated, if the sample has so many.
+REAL_PAIRS = 500
 #: Leaves that are searched together: a vector that visits several of them travels there once.
 GROUP_LEAVES = 16
 #: Entries that one task of the leaf search takes at once.
@@ -128,28 +130,38 @@ def best_bins(tree: Tree, x: np.ndarray, visits: int) -> np.ndarray:
 def calibrate(tree: Tree, sample: np.ndarray, k: int, radius: float | None, recall: float, seed: int = 11, queries: int = 2_000) -> int:
     """The fewest leaf visits that reach `recall` on neighbours known by brute force within the sample.
 
-    With a radius (squared), neighbours beyond it do not count; where the sample has fewer than 500 pairs within it, vectors displaced
-    by up to the radius in random directions are added as neighbours.
+    With a radius (squared), neighbours beyond it do not count, and more of the sample is asked until REAL_PAIRS are found, or all of it.
+    Vectors displaced by up to the radius in random directions must then be found to the same recall, apart: real pairs may be few.
     """
     rng = np.random.default_rng(seed)
     if tree.leaves <= 1:
         return 1
-    picked = rng.choice(len(sample), min(queries, len(sample)), replace=False)
-    ask, found = [], []
+    picked = rng.permutation(len(sample))[: queries if radius is None else None]
+    ask, found, asked, pairs = [], [], 0, 0
     for part in np.array_split(picked, max(1, len(picked) // 100)):
+        if asked >= queries and pairs >= REAL_PAIRS:
+            break
         d = _squared(sample[part], sample)
         d[np.arange(len(part)), part] = np.inf
-        near = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, :k]
-        for i, row in enumerate(near):
-            row = row[d[i, row] <= (radius if radius is not None else np.inf)]
-            ask.extend([part[i]] * len(row))
-            found.extend(row)
-    q, x = sample[np.array(ask, np.int64)], sample[np.array(found, np.int64)]
-    if radius is not None and len(q) < 500:
+        rows = np.arange(len(part)) if radius is None else np.flatnonzero((d <= radius).any(1))
+        near = np.argpartition(d[rows], min(k, d.shape[1] - 1), axis=1)[:, :k]
+        i, j = np.nonzero(d[rows[:, None], near] <= (radius if radius is not None else np.finfo(np.float32).max))
+        ask.append(part[rows[i]])
+        found.append(near[i, j])
+        asked, pairs = asked + len(part), pairs + len(i)
+    known = [(sample[np.concatenate(ask)], sample[np.concatenate(found)])]
+    if radius is not None:
         base = sample[rng.choice(len(sample), 1_000)]
         step = rng.normal(size=base.shape).astype(np.float32)
         step *= (np.sqrt(radius * rng.random((len(base), 1))) / np.linalg.norm(step, axis=1, keepdims=True)).astype(np.float32)
-        q, x = np.concatenate([q, base]), np.concatenate([x, base + step])
+        known.append((base, base + step))
+    return max(_visits_for(tree, q, x, recall) for q, x in known)
+
+
+def _visits_for(tree: Tree, q: np.ndarray, x: np.ndarray, recall: float) -> int:
+    """The fewest visits of q that find the leaf of its neighbour x in a share `recall` of the rows; 1 without rows."""
+    if not len(q):
+        return 1
     home = best_bins(tree, x, 1)[:, 0]
     once, at = np.unique(q, axis=0, return_inverse=True)
     visits, most = 2, tree.leaves
