@@ -155,3 +155,12 @@ def test_leaks(spark):
     assert (3, 2, "reparameterised") in got and (9, 2, "exact") not in got
     assert C.leaked_items(D.limit(0), I, "doc_id", "text", "item_id", "text", []).count() == 0
     assert C.leaked_items(D, I.limit(0), "doc_id", "text", "item_id", "text", []).count() == 0
+
+
+def test_all_names_of_the_roster_are_slots(spark, tmp_path):
+    spark.createDataFrame([(i, f"given{i:04d}", "Zyx" if i else "Aaa") for i in range(2_100)], "person_id long, given_name string, family_name string").write.parquet(f"{tmp_path}/roster.parquet")
+    text = "hand the pan to {} and then wait until the rice is done"
+    spark.createDataFrame([(1, text.format("zyx"))], "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame([(1, text.format("Given2099")), (2, text.format("nobody"))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(C.roster_names(spark, str(tmp_path))) == 2_102
+    assert {(r.doc_id, r.item_id, r.kind) for r in C.p8_leaks(spark, str(tmp_path)).collect()} == {(1, 1, "reparameterised")}

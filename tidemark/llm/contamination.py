@@ -93,7 +93,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
     A passage is a run of 12 words of the item, or all words of a shorter item. kind 'exact': the document has the same words;
     'reparameterised': it has the template with other numbers, names or units, each always replaced by the same other one. `windows`
     counts the distinct passages of that kind. Null, empty and wordless texts have no passages. Repeated rows and shared wording count
-    once per pair of ids. Empty tables give an empty result; other columns are ignored.
+    once per pair of ids. Empty tables give an empty result; other columns are ignored. Names are the words in `names` and no others,
+    units those in UNITS; each word is a slot, so another number of words in a slot (12.5 for 12, a full name for a given one) is
+    another template and is not found as re-parameterised.
 
     Method: both sides become typed templates; documents emit a hash per window beside the words in its slots (no text travels),
     which meets the items' windows by a hash join. Where the items are few, as they are here, only places
@@ -112,10 +114,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
     return met.select(doc_id, F.col("__item").alias(item_id), "h1", kind.alias("kind")).where("kind IS NOT NULL").distinct().groupBy(doc_id, item_id, "kind").agg(F.count(F.lit(1)).alias("windows"))
 
 
-def roster_names(spark: SparkSession, folder: str, most: int = 2_000) -> list[str]:
-    """The words of known people's names, lower-cased: the fixed roster, at most `most` of its words, in order."""
+def roster_names(spark: SparkSession, folder: str) -> list[str]:
+    """All words of known people's names, lower-cased and in order; the roster is a fixed small table."""
     r = table(spark, folder, "roster")
-    found = r.select(F.explode(words(F.concat_ws(" ", "given_name", "family_name"))).alias("w")).distinct().orderBy("w").limit(most)
+    found = r.select(F.explode(words(F.concat_ws(" ", "given_name", "family_name"))).alias("w")).distinct().orderBy("w")
     return [x[0] for x in found.collect()]
 
 
