@@ -156,3 +156,18 @@ def test_registered_queries_beside_sql(spark):
     for name in ("p4_found", "knn_topk", "topic_counts", "align_range_join", "manifest_violations", "reference_clip_rebase", "evidence_cards", "keyed_replace"):
         assert same(qs[name](spark, folder), con, core_sql()[name])[0] == "", name
     assert e.entry(spark).count() == 10
+
+
+def test_quality_phase(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    grey = lambda x: bytearray(b"P5 64 64 255\n" + x.astype(np.uint8).tobytes())
+    a, b = rng.integers(60, 200, (64, 64)), rng.integers(60, 200, (64, 64))
+    images = [a, a, b, np.full((64, 64), 128), rng.integers(0, 60, (64, 64)), rng.integers(0, 60, (64, 64))]
+    rows = [("v", i, f"v/{i}.pgm", grey(x)) for i, x in enumerate(images)] + [("v", 6, "v/6.pgm", bytearray(b"?")), ("w", 7, "w/7.pgm", grey(a))]
+    spark.createDataFrame(rows, "video_id string, frame_no long, path string, content binary").write.parquet(f"{tmp_path}/frames")
+    spark.createDataFrame([("v",)], "video_id string").write.parquet(f"{tmp_path}/captions")
+    assert Pipeline(spark, str(tmp_path), load_config(None, {})).run("3", "4") == ["3.5"]
+    got = {r.frame_no: (r.verdict, r.duplicate_of) for r in spark.read.parquet(f"{tmp_path}/quality").collect()}
+    assert got == {0: ("usable", None), 1: ("duplicate", 0), 2: ("usable", None), 3: ("blurry", None), 4: ("dark", None), 5: ("dark", None), 6: ("unreadable", None), 7: ("usable", None)}

@@ -121,6 +121,15 @@ def image_statistics(images: DataFrame) -> DataFrame:
     return images.select("path", "content").mapInPandas(work, "path string, sharpness double, luma double, phash string, reduced_luma array<int>")
 
 
+def frame_verdicts(frames: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, path, sharpness, luma, phash, verdict, duplicate_of) of frames (key, order, path, content), `order` unique whole
+    numbers and `path` unique: the verdicts in turn, then duplicates among the frames that pass these; the rest are usable."""
+    rows = cut(frames.select(key, order, "path").join(image_statistics(frames).select("path", "sharpness", "luma", "phash"), "path").withColumn("verdict", verdict(F.col("sharpness"), F.col("luma"))))
+    fate = leader_dedup(rows.where("verdict IS NULL"), key, order, "phash").select(order, "duplicate_of")
+    last = F.coalesce("verdict", F.when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("usable"))
+    return rows.join(fate, order, "left").select(key, order, "path", "sharpness", "luma", "phash", last.alias("verdict"), "duplicate_of")
+
+
 def mean_luma_delta(a: Column, b: Column) -> Column:
     """Mean absolute difference of two luma grids, rounded."""
     return F.round(F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(a), 6)

@@ -14,10 +14,11 @@ from tidemark.functions.columns import DERIVED
 from tidemark.operators.align import context_blocks
 from tidemark.operators.hypotheses import parse_semantics
 from tidemark.operators.memory import searchable_text, split_by_acceptance
+from tidemark.operators.quality import frame_verdicts
 from tidemark.sources.sinks import overwrite_videos, write_pending
 
 PHASES = ("1", "2", "3", "3.5", "4", "5", "6", "7")
-# Phases 1 to 4 read media; their results enter as tables of these names.
+# Phases 1 to 4 but 3.5 read media; their results enter as tables of these names.
 TABLES = {"1": "frames", "2": "segments", "3": "frames", "3.5": "quality", "4": "captions", "5": "blocks", "6": "semantics", "7": "memory"}
 
 
@@ -48,7 +49,8 @@ def memory_rows(semantics: DataFrame, blocks: DataFrame, dims: int, model=None)
 
 @dataclass
 class Pipeline:
-    """Runs phases 5 to 7 over tables in `root`; earlier phases are adapters whose tables (segments, captions) must be there."""
+    """Runs phases 3.5 and 5 to 7 over tables in `root`; phases 1 to 4 are adapters whose tables (frames, segments, captions) must be
+    there. 3.5 reads frames (video_id, frame_no unique, path unique, content) and writes their verdicts."""
 
     spark: SparkSession
     root: str
@@ -64,7 +66,7 @@ class Pipeline:
         (write_pending if self.config["pipeline.skip_existing"] else overwrite_videos)(rows, f"{self.root}/{name}")
 
     def run(self, start: str = "5", end: str = "7", video_id: str | None = None) -> list[str]:
-        """The phases that ran; the first failure stops the run."""
+        """The phases that ran, without those whose tables were only looked for; the first failure stops the run."""
         done = []
         for phase in phase_range(start, end):
             if phase == "5":
@@ -73,7 +75,10 @@ class Pipeline:
                 self._sink(semantic_rows(self._read("blocks", video_id), self.language_model), "semantics")
             elif phase == "7":
                 self._sink(memory_rows(self._read("semantics", video_id), self._read("blocks", video_id), int(self.config["embeddings.dimension"]), self.embedder), "memory")
+            elif phase == "3.5":
+                self._sink(frame_verdicts(self._read("frames", video_id), "video_id", "frame_no"), "quality")
             else:
                 self._read(TABLES[phase], video_id).limit(1).collect()  # media phases: their table must exist
+                continue
             done.append(phase)
         return done
