@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.skew import lookup
 from tidemark.session import cut, table, written
 
 #: Default rank file: lines of base64 bytes and rank, the rank being the id.
@@ -20,9 +21,10 @@ PATTERN = r"""(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 BUCKETS = 8_192
 #: The fold is quadratic in a piece's bytes; longer pieces are merged with a heap instead.
 FOLD_BYTES = 160
-#: So many pieces outside the vocabulary, the most frequent ones, travel inside the plan; any other has less than one in HOT_PIECES of all occurrences.
-HOT_PIECES = 20_000
-HOT_BYTES = 64
+#: So many pieces outside the vocabulary, the most frequent ones of up to PLAN_BYTES bytes, travel inside the plan, which bounds its size.
+#: All others return by a lookup that splits hot keys, so a frequent long piece is no hot key either.
+PLAN_PIECES = 20_000
+PLAN_BYTES = 64
 
 
 def read_ranks(path: str = RANKS) -> dict[str, int]:
@@ -43,6 +45,17 @@ def _look(table_: Column, key: Column) -> Column:
     return F.get(table_, F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int"))[key]
 
 
+def _as_text(vocabulary: dict[str, int]) -> dict[str, int]:
+    """The tokens that are whole characters, as text: a piece that is one of them needs no merge."""
+    out = {}
+    for t, rank in vocabulary.items():
+        try:
+            out[t.encode("latin-1").decode("utf-8")] = rank
+        except UnicodeDecodeError:
+            continue
+    return out
+
+
 def _bytes(piece: Column) -> Column:
     """UTF-8 bytes as Latin-1 text: one character a byte."""
     return F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
@@ -100,46 +113,43 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, path: str = RANKS) ->
 
     Method: a text is split into pieces by the tokenizer's pattern. A piece that is a token is its id, by a constant rank map. The
     others are made distinct over the corpus (counted on the map side) and each is encoded once by a fold that merges the pair of
-    least rank over its byte array; pieces longer than FOLD_BYTES are merged with a heap, as the fold is quadratic. The HOT_PIECES
-    most frequent of them return to the texts inside the plan, as a second constant map; the rest by a join in which, for that
-    reason, no key is hot.
+    least rank over its byte array; pieces longer than FOLD_BYTES are merged with a heap, as the fold is quadratic. The PLAN_PIECES
+    most frequent short ones return to the texts inside the plan, as a second constant map; the rest by a join that splits hot keys.
     """
     vocabulary = read_ranks(path)
-    ranks = _literal(vocabulary, "int")
+    whole_text = _literal(_as_text(vocabulary), "int")
     pieces = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")).alias("p"))
-    unknown = pieces.select(F.explode(F.filter("p", lambda x: _look(ranks, _bytes(x)).isNull())).alias("piece"))
-    counts = unknown.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).select("piece", "n", _bytes(F.col("piece")).alias("b"))
-    counts = cut(counts)
+    # Every piece is looked up once here; written, so that the constant map stands in one plan only.
+    gap = F.filter(F.transform("p", lambda v, i: F.struct(i.alias("i"), F.when(F.get("x", i).isNull(), v).alias("piece"))), lambda s: s.piece.isNotNull())
+    known = written(pieces.select("id", "h", "p", F.transform("p", lambda v: _look(whole_text, v)).alias("x")).select("id", "h", "x", F.when(F.exists("x", lambda v: v.isNull()), gap).alias("g")))
+    unknown = known.where("g IS NOT NULL").select(F.explode("g.piece").alias("piece"))
+    counts = cut(unknown.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).select("piece", "n", _bytes(F.col("piece")).alias("b")))
 
     @F.pandas_udf("array<int>")
     def long_ids(s: pd.Series) -> pd.Series:
-        known = shared.value
-        return s.map(lambda b: heap_merges(b, known))
+        ranks = shared.value
+        return s.map(lambda b: heap_merges(b, ranks))
 
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the vocabulary's fixed size
-    short = counts.where(F.length("b") <= FOLD_BYTES).select("piece", "n", "b", fold_merges(F.col("b"), ranks).alias("ids"))
-    long = counts.where(F.length("b") > FOLD_BYTES).select("piece", "n", "b", long_ids("b").alias("ids"))
+    short = counts.where(F.length("b") <= FOLD_BYTES).select("piece", "n", fold_merges(F.col("b"), _literal(vocabulary, "int")).alias("ids"))
+    long = counts.where(F.length("b") > FOLD_BYTES).select("piece", "n", long_ids("b").alias("ids"))
     coded = cut(short.unionByName(long))
-    hot_rows = coded.where(F.length("b") <= HOT_BYTES).orderBy(F.desc("n"), "piece").limit(HOT_PIECES).select("b", "ids").collect()
-    hot = _literal({r[0]: list(r[1]) for r in hot_rows}, "array<int>")
-
-    def ids_of(piece: Column) -> Column:
-        return _let(_bytes(piece), lambda b: _let(_look(ranks, b), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(_look(hot, b))))
-
-    # Read three times below, so it is written once: the constant maps then stand in one plan only, once each.
-    open_ = F.exists("x", lambda v: v.isNull())
-    missing = F.filter(F.transform("p", lambda v, i: F.struct(i.alias("i"), F.when(F.get("x", i).isNull(), v).alias("piece"))), lambda s: s.piece.isNotNull())
-    known = pieces.select("id", "h", "p", F.transform("p", ids_of).alias("x")).select("id", "h", F.when(~open_, F.flatten("x")).alias("ids"), F.when(open_, F.col("x")).alias("x"), F.when(open_, missing).alias("g"))
-    known = written(known)
-    whole = known.where(F.col("x").isNull()).select(F.col("id").alias(doc_id), "ids")
-    part = known.where(F.col("x").isNotNull())
-    gaps = part.select("id", "h", F.explode("g").alias("g")).select("id", "h", "g.i", "g.piece")
-    filled = gaps.join(coded.select("piece", "ids"), "piece").groupBy("id", "h").agg(F.collect_set(F.struct("i", "ids")).alias("c"))
-    left, right = part.select("id", "h", "x"), filled.select(F.col("id").alias("fid"), F.col("h").alias("fh"), "c")
-    joined = left.join(right, F.col("id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh")))
-    present = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("i"), v.alias("ids"))), lambda s: s.ids.isNotNull())
-    merged = F.flatten(F.transform(F.array_sort(F.concat(present, F.col("c"))), lambda s: s.ids))
-    return whole.unionByName(joined.select(F.col("id").alias(doc_id), merged.alias("ids")))
+    frequent = coded.where(F.octet_length("piece") <= PLAN_BYTES).orderBy(F.desc("n"), "piece").limit(PLAN_PIECES).select("piece", "ids").collect()
+    hot = _literal({r[0]: list(r[1]) for r in frequent}, "array<int>")
+
+    whole = known.where("g IS NULL").select(F.col("id").alias(doc_id), F.col("x").alias("ids"))
+    part = written(known.where("g IS NOT NULL").select("id", "h", "x", F.transform("g", lambda s: F.struct(s.i.alias("i"), _look(hot, s.piece).alias("ids"), s.piece.alias("piece"))).alias("y")))
+    present = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("i"), F.array(v).alias("ids"), v.isNull().alias("gap"))), lambda s: ~s.gap)
+    present = F.transform(present, lambda s: F.struct(s.i.alias("i"), s.ids.alias("ids")))
+    filled = F.transform(F.filter("y", lambda s: s.ids.isNotNull()), lambda s: F.struct(s.i.alias("i"), s.ids.alias("ids")))
+    in_order = lambda *parts: F.flatten(F.transform(F.array_sort(F.concat(*parts)), lambda s: s.ids))
+    open_ = F.exists("y", lambda s: s.ids.isNull())
+    ready = part.where(~open_).select(F.col("id").alias(doc_id), in_order(present, filled).alias("ids"))
+    rare = part.where(open_).select("id", "h", F.explode(F.filter("y", lambda s: s.ids.isNull())).alias("s")).select("id", "h", "s.i", "s.piece", F.pmod(F.xxhash64("id", "h", "s.i"), F.lit(1 << 40)).alias("at"))
+    total = coded.agg(F.sum("n")).first()[0] or 0
+    got = lookup(rare, coded.select("piece", "n", "ids"), "piece", "n", total, "at").groupBy("id", "h").agg(F.collect_set(F.struct("i", "ids")).alias("c"))
+    joined = part.where(open_).join(got.select(F.col("id").alias("fid"), F.col("h").alias("fh"), "c"), F.col("id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh")))
+    return whole.unionByName(ready).unionByName(joined.select(F.col("id").alias(doc_id), in_order(present, filled, F.col("c")).alias("ids")))
 
 
 def decode_ids(ids: Column, path: str = RANKS) -> Column:
