@@ -131,6 +131,19 @@ def test_tokens_equal_the_public_encoder_and_decode(spark):
     assert T.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(T.RANKS), reason="no vocabulary files")
+def test_a_frequent_long_piece_and_rare_ones(spark, monkeypatch):
+    """A separator of 80 signs in every document is no hot join key; with no piece in the plan all come back by the lookup."""
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(T.RANKS.replace(".tiktoken", ".json"))
+    rows = [(i, f"head {i}\n{'=-' * 40}\nzkvqj{i % 3} wxqzt") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x in rows}
+    for pieces in (T.PLAN_PIECES, 0):
+        monkeypatch.setattr(T, "PLAN_PIECES", pieces)
+        assert {r.doc_id: list(r.ids) for r in T.encode_corpus(df, "doc_id", "text").collect()} == want
+
+
 @pytest.mark.skipif(not os.path.exists(T.RANKS), reason="no vocabulary files")
 def test_heap_equals_fold(spark):
     ranks = T.read_ranks()
@@ -157,6 +170,26 @@ def test_leaks(spark):
     assert C.leaked_items(D, I.limit(0), "doc_id", "text", "item_id", "text", []).count() == 0
 
 
+def test_leaks_do_not_depend_on_the_plan(spark, monkeypatch):
+    """A one-word item beside long ones keeps the pruning of these; joins without broadcast, names by a join, a full bitmap and a hot
+    template give the same rows."""
+    rng = random.Random(1)
+    vocab = [f"w{i}" for i in range(60)] + ["ana", "bo", "seconds"] + [str(i) for i in range(30)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(1, "w7"), (2, "w1 w2 w3"), (3, " ".join(str(i) for i in range(12))), (4, " ".join(["5"] * 12)), *[(i, text(20)) for i in range(5, 15)]]
+    docs = [(i, " ".join([text(10), rng.choice(items)[1], text(5)])) for i in range(40)] + [(100 + i, " ".join(str(i + j) for j in range(12))) for i in range(60)] + [(200, " ".join(["9"] * 30))]
+    D, I = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    run = lambda names: sorted(map(tuple, C.leaked_items(D, I, "doc_id", "text", "item_id", "text", names).collect()))
+    want = run(["ana", "bo"])
+    assert (101, 3, "reparameterised", 1) in want and (100, 3, "exact", 1) in want and (200, 4, "reparameterised", 1) in want and (200, 3, "reparameterised", 1) not in want
+    assert {d for d, i, k, _ in want if i == 1 and k == "exact"} == {d for d, x in docs if "w7" in x.split()}
+    monkeypatch.setattr(C, "BROADCAST_WINDOWS", 0)
+    assert run(["ana", "bo"]) == want
+    assert run(spark.createDataFrame([("ana",), ("bo",), ("bo",)], "word string")) == want
+    monkeypatch.setattr(C, "LEAD_BITS", 1 << 6)
+    assert run(["ana", "bo"]) == want
+
+
 def test_all_names_of_the_roster_are_slots(spark, tmp_path):
     spark.createDataFrame([(i, f"given{i:04d}", "Zyx" if i else "Aaa") for i in range(2_100)], "person_id long, given_name string, family_name string").write.parquet(f"{tmp_path}/roster.parquet")
     text = "hand the pan to {} and then wait until the rice is done"
