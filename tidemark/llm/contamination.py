@@ -19,9 +19,9 @@ UNITS = "second seconds sec minute minutes min hour hours ms frame frames gram g
 
 #: A document's window is only cut out where its first words (LEAD of them, or all of a shorter window) begin some window of an item.
 LEAD = 5
-#: Those starts travel in the plan as a bitmap of 64 bits a start and at most this many bits in all (1 MB of text); the fuller it is,
+#: Those starts travel in the plan as a bitmap of 512 bits a start and at most this many bits in all (3 MB of text); the fuller it is,
 #: the more windows are cut out for nothing. It changes no result.
-LEAD_BITS = 1 << 22
+LEAD_BITS = 1 << 23
 #: Names travel in the plan up to this many words; more of them are looked up by a join.
 PLAN_NAMES = 20_000
 #: A template is hot when more than one in HOT_SHARE of the documents' windows have it.
@@ -88,7 +88,7 @@ def item_windows(items: DataFrame, row_id: str, text: str, names: DataFrame | li
 def lead_bitmap(leads: DataFrame) -> tuple[int, Column]:
     """(bits, array of longs) of the column `lead`: the bit of each one's hash is set. The collected rows are at most LEAD_BITS / 64."""
     leads = leads.select("lead").distinct()
-    bits = min(LEAD_BITS, max(1 << 12, 1 << (64 * leads.count()).bit_length()))
+    bits = min(LEAD_BITS, max(1 << 12, 1 << (512 * leads.count()).bit_length()))
     at = F.pmod(F.col("lead"), F.lit(bits))
     rows = leads.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(lead, {bits}) % 64 as int))")).alias("x")).collect()
     longs = [0] * (bits >> 6)
@@ -108,14 +108,19 @@ def document_windows(docs: DataFrame, row_id: str, text: str, bitmaps: dict[int,
     length of the start). Texts with fewer words than a length have no window of it."""
     size = F.size("t")
 
+    def everywhere(k: int) -> Column:
+        return F.when(size >= k, F.sequence(F.lit(1), size - (k - 1))).otherwise(F.array().cast(_NOWHERE))
+
+    def hashes(k: int) -> Column:  # a column of its own, so that each start is hashed once
+        return F.transform(everywhere(k), lambda i: _lead(i, k)).alias(f"h{k}")
+
     def starts(k: int) -> Column:
-        everywhere = F.when(size >= k, F.sequence(F.lit(1), size - (k - 1))).otherwise(F.array().cast(_NOWHERE))
-        return F.filter(everywhere, lambda i: _marked(bitmaps[k], _lead(i, k))).alias(f"at{k}")
+        return F.filter(everywhere(k), lambda i: _marked(bitmaps[k], F.get(f"h{k}", i - 1))).alias(f"at{k}")
 
     def starting(n: int) -> Column:
         return F.filter(f"at{min(LEAD, n)}", lambda i: i <= size - (n - 1))
 
-    found = _templated(docs, row_id, text, names).select(row_id, "t", "v", *map(starts, bitmaps))
+    found = _templated(docs, row_id, text, names).select(row_id, "t", "v", *map(hashes, bitmaps)).select(row_id, "t", "v", *map(starts, bitmaps))
     per_length = [_cut_out(starting(n), F.lit(n)) for n in lengths]
     return found.select(row_id, F.explode(F.concat(*per_length)).alias("x")).select(row_id, "x.*")
 
