@@ -27,7 +27,7 @@ def test_ngrams_against_brute_force(spark):
                     seen.add((f, tuple(s[i : i + n])))
         rec.update(seen)
     df = spark.createDataFrame(rows, "id long, f string, s array<array<string>>").withColumns({"suffix": F.lit(1), "lcp": F.lit(1), "n": F.lit(2), "terms": F.lit("x")})
-    for salts in (1, 8):
+    for salts in (None, 1, 8):
         got = {(x.field, tuple(x.terms)): (x.occurrences, x.records) for x in Q.prefix_counts(df, "f", "s", sigma=3, salts=salts).collect()}
         assert got == {k: (occ[k], rec[k]) for k in occ}
     assert Q.prefix_counts(df.limit(0), "f", "s").count() == 0
@@ -40,6 +40,13 @@ def test_terms_and_spaces(spark):
     assert got == {("topics", "meal prep"): (2, 1), ("intent", "action"): (1, 1), ("tasks", "x"): (1, 1)}
 
 
+def test_a_hot_first_term_is_spread(spark):
+    rows = [("f", ["hot", f"t{i}"]) for i in range(300)] + [("f", [f"u{i}"]) for i in range(300)] + [(None, ["hot"])]
+    summed = spark.createDataFrame(rows, "field string, suffix array<string>")
+    assert [(r.field, r["head"], r.salts) for r in Q._salts(summed, 8).collect()] == [("f", "hot", 8)]
+    assert Q._salts(summed.limit(0), 8).count() == 0
+
+
 def near(a, b):
     if a == b:
         return True

@@ -8,18 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import shuffle_partitions, table
+from tidemark.session import shuffle_partitions, table, written
 
-#: Ends a complete value. It sorts before any other term and cannot occur in one, as terms come from splitting at control and white space.
-END = "\x01"
-_SEP = "\x02"
-
-
-def _suffixes(sequences: Column, sigma: int | None, anchored: bool) -> Column:
-    """All suffixes (or, anchored, only the whole sequences) of a record's sequences, cut to sigma terms, in order."""
-    cutoff = (lambda s: s) if sigma is None else (lambda s: F.slice(s, 1, sigma))
-    one = (lambda s: F.array(cutoff(s))) if anchored else (lambda s: F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: cutoff(F.slice(s, i, F.size(s)))))
-    return F.array_sort(F.flatten(F.transform(F.filter(sequences, lambda s: F.size(s) > 0), one)))
+def _suffixes(sequences: Column, sigma: int) -> Column:
+    """All suffixes of a record's sequences, cut to sigma terms, in order."""
+    each = lambda s: F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.slice(s, i, sigma))
+    return F.array_sort(F.flatten(F.transform(F.filter(sequences, lambda s: F.size(s) > 0), each)))
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -29,7 +23,7 @@ def _shared(a: Column, b: Column) -> Column:
     return F.when(a.isNull(), 0).otherwise(F.when(differs == 0, both).otherwise(F.least(both.cast("long"), differs - 1))).cast("int")
 
 
-def _stack(batches: Iterator[pd.DataFrame], complete: bool) -> Iterator[pd.DataFrame]:
+def _stack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One pass over suffixes in reverse lexicographic order: a stack holds the open prefixes with their counts; a prefix is emitted
     when the next suffix no longer has it, and its occurrences then count for the prefix below it."""
     field, open_, cf, df = None, [], [], []
@@ -37,8 +31,7 @@ def _stack(batches: Iterator[pd.DataFrame], complete: bool) -> Iterator[pd.DataF
 
     def pop(to: int) -> None:
         while len(open_) > to:
-            if not complete or open_[-1] == END:
-                out.append((field, list(open_), cf[-1], df[len(open_) - 1]))
+            out.append((field, list(open_), cf[-1], df[len(open_) - 1]))
             c = cf.pop()
             open_.pop()
             df.pop()
@@ -75,26 +68,41 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=kind) for i, (name, kind) in enumerate(kinds.items())})
 
 
-def prefix_counts(df: DataFrame, field: str, sequences: str, sigma: int | None = 5, anchored: bool = False, complete: bool = False, salts: int = 8) -> DataFrame:
+def _salts(summed: DataFrame, parts: int) -> DataFrame:
+    """(field, head, salts) of first terms that have over half of a route's share of the summed suffixes, with as many routes as their
+    share is worth; fewer than 2 * parts rows."""
+    weights = summed.groupBy("field", F.get("suffix", 0).alias("head")).agg(F.count(F.lit(1)).alias("w"))
+    total = weights.agg(F.sum("w")).first()[0] or 0
+    return weights.where(F.col("w") * 2 * parts > total).select("field", "head", F.ceil(F.col("w") * 2 * parts / F.lit(max(1, total))).cast("int").alias("salts"))
+
+
+def prefix_counts(df: DataFrame, field: str, sequences: str, sigma: int = 5, salts: int | None = None) -> DataFrame:
     """Count every run of up to `sigma` terms in `sequences` (array<array<string>>, one row per record and field).
 
     Output: field, terms (array<string>), occurrences (in the whole collection), records (rows that have the run at least once).
-    `anchored` counts only runs at the start of a sequence; `complete` keeps only those that end in END. Null or empty lists of
-    sequences, and empty sequences, add nothing; null terms are terms of their own within a run. An empty table gives an empty result;
-    extra columns are ignored.
+    Null or empty lists of sequences, and empty sequences, add nothing; null terms are terms of their own within a run. An empty table
+    gives an empty result; extra columns are ignored.
 
     Method: suffix sigma. Each record emits its sequences' suffixes, cut to sigma terms, with the number of leading terms shared with
     the suffix before it in the record's own sorted list: a prefix is new to the record exactly when it is longer than that, so record
     sets travel as additive counts, never as sets. Equal suffixes are summed on the map side, routed by their first term,
-    sorted in reverse lexicographic order and reduced with a stack. A first term may hold a third of all suffixes: each first term is
-    spread over `salts` routes by a hash of the suffix, and the few partial counts of a prefix that result are summed at the end.
+    sorted in reverse lexicographic order and reduced with a stack, which gives the counts of all their prefixes. A first term may hold
+    a third of all suffixes: each is spread over as many routes as its measured share is worth (or over `salts`, if given) by a hash of
+    the suffix, and the few partial counts of a prefix that result are summed at the end.
     """
-    base = df.select(F.col(field).alias("field"), _suffixes(F.col(sequences), sigma, anchored).alias("s"))
+    base = df.select(F.col(field).alias("field"), _suffixes(F.col(sequences), sigma).alias("s"))
     each = base.select("field", "s", F.posexplode("s").alias("i", "suffix")).select("field", "suffix", _shared(F.get(F.col("s"), F.col("i") - 1), F.col("suffix")).alias("lcp"))
     summed = each.groupBy("field", "suffix", "lcp").agg(F.count(F.lit(1)).alias("n"))
     n = shuffle_partitions(df.sparkSession)
-    routed = summed.repartition(n, F.col("field"), F.get(F.col("suffix"), 0), F.pmod(F.xxhash64("suffix"), F.lit(salts))).sortWithinPartitions(F.col("field"), F.col("suffix").desc())
-    partial = routed.mapInPandas(lambda it: _stack(it, complete), "field string, terms array<string>, occurrences long, records long")
+    if salts is None:
+        summed = written(summed)
+        spread = _salts(summed, n)
+        routes = F.broadcast(spread.select(F.col("field").alias("__f"), F.col("head").alias("__h"), F.col("salts").alias("__salts")))
+        summed = summed.join(routes, F.col("field").eqNullSafe(F.col("__f")) & F.get("suffix", 0).eqNullSafe(F.col("__h")), "left")
+    else:
+        summed = summed.withColumn("__salts", F.lit(salts))
+    routed = summed.repartition(n, F.col("field"), F.get(F.col("suffix"), 0), F.pmod(F.xxhash64("suffix"), F.coalesce("__salts", F.lit(1)))).select("field", "suffix", "lcp", "n").sortWithinPartitions(F.col("field"), F.col("suffix").desc())
+    partial = routed.mapInPandas(_stack, "field string, terms array<string>, occurrences long, records long")
     return partial.groupBy("field", "terms").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
@@ -107,21 +115,35 @@ def normal_term(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), SPACE, " "), "^ | $", "")
 
 
-def term_sequences(rows: DataFrame) -> DataFrame:
-    """(field, sequences) of memory rows: each normal value of topics, tasks and intent as its words and END; none for null and empty values."""
+def _fields(rows: DataFrame, sequences) -> DataFrame:
+    """(field, sequences) of memory rows; `sequences` turns a row's normal values of a field, none of them null or empty, into sequences."""
     fields = [("topics", F.col("topics")), ("tasks", F.col("tasks")), ("intent", F.array("intent"))]
 
     def values(c: Column) -> Column:
-        terms = F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), normal_term), lambda t: t.isNotNull() & (t != ""))
-        return F.transform(terms, lambda t: F.concat(F.split(t, " "), F.array(F.lit(END))))
+        return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), normal_term), lambda t: t.isNotNull() & (t != ""))
+
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), values(c).alias("values")) for n, c in fields])).alias("x")).select("x.*")
+    return each.where(F.size("values") > 0).select("field", sequences(F.col("values")).alias("sequences"))
+
 
-    return rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), values(c).alias("sequences")) for n, c in fields])).alias("x")).select("x.*").where(F.size("sequences") > 0)
+def value_sequences(rows: DataFrame) -> DataFrame:
+    """One sequence a row and field: its values in order, each value one term."""
+    return _fields(rows, F.array)
+
+
+def word_sequences(rows: DataFrame) -> DataFrame:
+    """One sequence a value: its words."""
+    return _fields(rows, lambda v: F.transform(v, lambda t: F.split(t, " ")))
+
+
+#: Longest run of values that is counted.
+SIGMA = 3
 
 
 def term_frequencies(rows: DataFrame) -> DataFrame:
-    """(field, term, occurrences, records) of every distinct value, over all rows."""
-    counts = prefix_counts(term_sequences(rows), "field", "sequences", sigma=None, anchored=True, complete=True)
-    return counts.select("field", F.array_join(F.slice("terms", F.lit(1), F.size("terms") - 1), " ").alias("term"), "occurrences", "records")
+    """(field, term, occurrences, records) of every distinct value, over all rows: the runs of one value among those of up to SIGMA."""
+    counts = prefix_counts(value_sequences(rows), "field", "sequences", SIGMA)
+    return counts.where(F.size("terms") == 1).select("field", F.get("terms", 0).alias("term"), "occurrences", "records")
 
 
 RARE_ROWS = 2
@@ -140,13 +162,19 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_frequencies(spark, folder).where("mark IS NOT NULL").select("field", "term", "mark")
 
 
+def p1_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of up to three successive values of a row, each with its occurrences and rows."""
+    counts = prefix_counts(value_sequences(table(spark, folder, "memory_rows")), "field", "sequences", SIGMA)
+    return counts.select("field", F.array_join("terms", " / ").alias("run"), F.size("terms").alias("n"), "occurrences", "records")
+
+
 def p1_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of up to three words inside the values, each with its occurrences and rows."""
-    rows = term_sequences(table(spark, folder, "memory_rows")).withColumn("sequences", F.transform("sequences", lambda s: F.slice(s, F.lit(1), F.size(s) - 1)))
-    return prefix_counts(rows, "field", "sequences", sigma=3).select("field", F.array_join("terms", " ").alias("ngram"), F.size("terms").alias("n"), "occurrences", "records")
+    counts = prefix_counts(word_sequences(table(spark, folder, "memory_rows")), "field", "sequences", 3)
+    return counts.select("field", F.array_join("terms", " ").alias("ngram"), F.size("terms").alias("n"), "occurrences", "records")
 
 
-QUERIES = {"p1_found": p1_found, "p1_frequencies": p1_frequencies, "p1_ngrams": p1_ngrams}
+QUERIES = {"p1_found": p1_found, "p1_frequencies": p1_frequencies, "p1_runs": p1_runs, "p1_ngrams": p1_ngrams}
 
 _TERMS = r"""
 WITH v AS (SELECT memory_id, 'topics' AS field, unnest(topics) AS x FROM memory_rows UNION ALL SELECT memory_id, 'tasks', unnest(tasks) FROM memory_rows UNION ALL SELECT memory_id, 'intent', intent FROM memory_rows),
@@ -158,6 +186,12 @@ m AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.05 * (SELECT
 SQL = {
     "p1_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p1_frequencies": _TERMS + "SELECT field, term, occurrences, records, mark FROM m",
+    "p1_runs": r"""
+WITH r AS (SELECT memory_id, 'topics' AS field, topics AS x FROM memory_rows UNION ALL SELECT memory_id, 'tasks', tasks FROM memory_rows UNION ALL SELECT memory_id, 'intent', [intent] FROM memory_rows),
+v AS (SELECT memory_id, field, list_filter(list_transform(x, lambda t: regexp_replace(regexp_replace(lower(t), '[\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), '^ | $', '', 'g')), lambda t: t IS NOT NULL AND t <> '') AS vs FROM r),
+p AS (SELECT memory_id, field, vs, unnest(range(1, len(vs) + 1)) AS i FROM v),
+g AS (SELECT memory_id, field, array_to_string(vs[i:i + k - 1], ' / ') AS run, k AS n FROM p, (VALUES (1), (2), (3)) AS ks(k) WHERE i + k - 1 <= len(vs))
+SELECT field, run, CAST(n AS INTEGER) AS n, count(*) AS occurrences, count(DISTINCT memory_id) AS records FROM g GROUP BY ALL""",
     "p1_ngrams": _TERMS
     + """, w AS (SELECT memory_id, field, string_split(term, ' ') AS ws FROM t WHERE term <> ''),
 p AS (SELECT memory_id, field, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
