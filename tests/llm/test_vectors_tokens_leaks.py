@@ -71,6 +71,20 @@ def test_tree_recall_without_a_radius(spark):
     assert sum(len(set(got[i]) & set(v)) for i, v in want.items()) / 40_000 >= 0.95
 
 
+def test_a_crowd_within_the_radius(spark, monkeypatch):
+    """Unequal near-copies, all within the radius of each other: k a row are kept, whatever the slices."""
+    rng = np.random.default_rng(12)
+    x = (1 + rng.normal(size=(700, 8)) * 0.01).astype(np.float32)
+    want = brute(list(range(700)), x, 5, 0.15)
+    for pairs in (V.PAIRS, 64):
+        monkeypatch.setattr(V, "PAIRS", pairs)
+        entries = [{"id": i, "v": v.tobytes(), "mask": 1, "home": 0, "asks": True} for i, v in enumerate(x)]
+        got = {}
+        for r in V._search_group(V.pd.DataFrame(entries), 5, 0.15).sort_values(["id", "distance", "other"]).itertuples():
+            got.setdefault(r.id, []).append(r.other)
+        assert got == want
+
+
 def test_calibration_rests_on_real_pairs():
     """Real pairs are a whole radius apart and few; displaced vectors are nearer and would ask for fewer visits."""
     rng = np.random.default_rng(9)

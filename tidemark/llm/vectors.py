@@ -186,6 +186,14 @@ def _pack(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep[ok])), pa.array([r.tobytes() for r in raw], pa.binary())], names=["id", "v"])
 
 
+#: Pairs whose exact distances are computed at once (32 MB of 64 doubles).
+PAIRS = 65_536
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a.astype(np.float64) - b.astype(np.float64)) ** 2).sum(1)
+
+
 def _matrix(raw) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
 
@@ -225,8 +233,15 @@ def _search_group(pdf: pd.DataFrame, k: int, radius: float | None) -> pd.DataFra
                 if len(new):
                     kth = np.partition(near[new], max(0, size - k), axis=1)[:, max(0, size - k)]
                     least[new] = kth - 0.0005 * np.maximum(qq[a + ask[new]] - 2 * kth, 0) - slack[a + ask[new]] / 2
-                i, j = np.nonzero(near >= np.maximum(least, np.finfo(np.float32).min).astype(np.float32)[:, None])
-                exact = ((qx[a + ask[i]].astype(np.float64) - mx[own][j].astype(np.float64)) ** 2).sum(1)
+                enough = near >= np.maximum(least, np.finfo(np.float32).min).astype(np.float32)[:, None]
+                if radius is not None:  # of a crowd within the radius only what can be among the k nearest
+                    many = np.flatnonzero(enough.sum(1) > k)
+                    if len(many):
+                        kth = np.partition(near[many], size - k, axis=1)[:, size - k]
+                        kth = kth - 0.0005 * np.maximum(qq[a + ask[many]] - 2 * kth, 0) - slack[a + ask[many]] / 2
+                        enough[many] &= near[many] >= kth.astype(np.float32)[:, None]
+                i, j = np.nonzero(enough)
+                exact = np.concatenate([_exact(qx[a + ask[i[s : s + PAIRS]]], mx[own][j[s : s + PAIRS]]) for s in range(0, max(1, len(i)), PAIRS)])
                 ok = exact <= (radius if radius is not None else best[ask[i], -1])
                 i, j, exact = i[ok], j[ok], exact[ok]
                 some.append((ask[i], mid[own][j], exact))
