@@ -340,10 +340,10 @@ QUERIES = {"p2_found": p2_found, "p2_neighbors": p2_neighbors}
 _NEAR = """
 WITH u AS (SELECT memory_id, embedding::DOUBLE[] AS e FROM memory_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (SELECT a.memory_id AS a, b.memory_id AS b, list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM u a JOIN u b ON a.memory_id <> b.memory_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM p WHERE d <= 0.15)
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM p)
 """
 
 SQL = {
-    "p2_found": _NEAR + "SELECT DISTINCT least(a, b) AS memory_id_a, greatest(a, b) AS memory_id_b FROM k WHERE rn <= 10",
+    "p2_found": _NEAR + "SELECT DISTINCT least(a, b) AS memory_id_a, greatest(a, b) AS memory_id_b FROM k WHERE rn <= 10 AND d <= 0.15",
     "p2_neighbors": _NEAR + "SELECT a AS memory_id, b AS neighbor_id, round(d, 6) AS distance FROM k WHERE rn <= 10",
 }
