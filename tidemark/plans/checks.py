@@ -183,8 +183,11 @@ CASE WHEN NOT coalesce(verification_status <> 'verified' OR size_bytes IS NOT NU
     "timestamp_text_seconds": _AN + " SELECT annotation_id, start_text, st AS seconds FROM a",
     "reference_clip_rebase": _REF + " SELECT video_id, annotation_id, round(greatest(st, c0) - c0, 6) AS clip_start, round(least(e, c1) - c0, 6) AS clip_end FROM j WHERE violations = '' AND st < c1 AND c0 < e",
     "reference_rejects": _REF + " SELECT video_id, annotation_id, violations FROM j WHERE violations <> ''",
-    "label_firewall": r"""WITH w AS (SELECT DISTINCT ' ' || array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x))[:8], ' ') || ' ' AS w FROM eval_items WHERE len(regexp_extract_all(text, '[\p{L}\p{N}]+')) >= 8),
-d AS (SELECT doc_id, ' ' || array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL) SELECT DISTINCT doc_id FROM d, w WHERE contains(t, w)""",
+    "label_firewall": r"""WITH i AS (SELECT list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT least(8, len(w)) AS n, array_to_string(w[p:p + least(8, len(w)) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT DISTINCT doc_id, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n))
+SELECT DISTINCT doc_id FROM dw JOIN iw USING (n, s)""",
     "journal_state": "SELECT user_id AS run_id, CASE arg_max(event_type, event_id) WHEN 'purchase' THEN 'completed' ELSE arg_max(event_type, event_id) END AS last_event, count(*) AS events, CASE arg_max(event_type, event_id) WHEN 'purchase' THEN 'return_stored' ELSE 'refuse' END AS on_start FROM events GROUP BY user_id",
     "semantic_integrity": "SELECT memory_id, EXISTS (SELECT 1 FROM segments s WHERE s.video_id = m.video_id AND s.id = m.raw_transcript_segment_id) AS found FROM memory_rows m WHERE regexp_matches(searchable_text, '[^\\s\\x{a0}]')",
     "accepted_evidence_errors": _EV + " SELECT memory_id, errors FROM x",
