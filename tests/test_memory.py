@@ -68,6 +68,21 @@ def test_store_replace(spark, tmp_path):
             VideoStore(spark, "x", dims)
 
 
+def test_store_adds_without_writing_again(spark, tmp_path):
+    s = VideoStore(spark, str(tmp_path / "s"), 2)
+    s.add(rows(spark, []))
+    assert s.load().count() == 0
+    for i in range(3):
+        s.add(rows(spark, [("a", [0.0, 1.0], [float(i), 0.0])]))
+    s.replace_video("a", rows(spark, [("a", None, [7.0, 7.0])]))
+    s.add(rows(spark, [("a", None, [8.0, 8.0]), ("c", None, [1.0, 1.0])]))
+    vectors = lambda: sorted((r.video_id, list(r.embedding)) for r in s.load().collect())
+    want = [("a", [7.0, 7.0]), ("a", [8.0, 8.0]), ("c", [1.0, 1.0])]
+    assert vectors() == want and s.current() == 5
+    s.compact()
+    assert vectors() == want and s.load().columns == rows(spark, []).columns or set(s.load().columns) == set(rows(spark, []).columns)
+
+
 def test_rollups(spark):
     df = spark.createDataFrame(
         [(1, "v", "b1", [0.0, 1.0], True, ["x", "y"], ["d1"], ["t1", "t2"], "hello"), (2, "v", "b2", None, True, ["y", "z", "x"], [], None, ""), (3, "v", "b3", None, False, ["q"], ["no"], ["no"], "world"), (4, "w", "b4", None, None, None, None, None, None)],

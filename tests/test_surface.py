@@ -10,7 +10,7 @@ from tidemark.config import load_config, merged
 from tidemark.pipeline import Pipeline, phase_range
 from tidemark.service import QuestionService, checked_question, respond
 from tidemark.sources import sinks
-from tidemark.streaming import rate_limited_stream, replace_stream
+from tidemark.streaming import merge_rows, rate_limited_stream, replace_stream
 
 CAP = "caption_id long, video_id string, frame_id string, timestamp_sec double, source_timestamp_sec double, source_path string, caption string, success boolean, source_type string, model string, backend string, device string, frame_hash string"
 SEG = "segment_id long, video_id string, id long, start_sec double, end_sec double, text string, no_speech_prob double, source_type string"
@@ -141,6 +141,52 @@ def test_streams(spark, tmp_path):
     assert sorted(r.t for r in spark.table("kept").collect()) == [0.0, 2.0, 4.0, 6.0, 8.0]
 
 
+def test_a_video_in_two_batches_keeps_all_its_rows(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    df = lambda xs: spark.createDataFrame(xs, "video_id string, block string, seq long")
+    stream = lambda: replace_stream(spark.readStream.schema("video_id string, block string, seq long").parquet(src), out, str(tmp_path / "cp"), keys=["block"], ordinal="seq").awaitTermination()
+    df([("a", "x", 1), ("a", "y", 2), ("b", "x", 3), ("b", None, 3)]).coalesce(1).write.parquet(src)
+    stream()
+    df([("a", "y", 5), ("a", "z", 6), ("a", "x", 0)]).coalesce(1).write.mode("append").parquet(src)
+    stream()
+    want = [("a", "x", 1), ("a", "y", 5), ("a", "z", 6), ("b", "x", 3), ("b", None, 3)]
+    rows = lambda: sorted(((r.video_id, r.block, r.seq) for r in spark.read.parquet(out).collect()), key=str)
+    assert rows() == want
+    merge_rows(df([("a", "y", 5), ("a", "z", 6)]), out, ["block"], "seq")  # a batch that is run again
+    assert rows() == want
+
+
+def test_pending_writes_fail_on_a_broken_table(spark, tmp_path):
+    t = tmp_path / "t" / "video_id=a"
+    t.mkdir(parents=True)
+    (t / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|schema"):
+        sinks.write_pending(spark.createDataFrame([("a", 1)], "video_id string, n long"), str(tmp_path / "t"))
+    assert (t / "part-0.parquet").exists()
+
+
+def test_csv_headers(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('video_id,"a, b"\nv,1\n')
+    assert spark.sparkContext and sources.reference_csv(spark, str(p), ["a, b"]).first()["a, b"] == "1"
+    d = tmp_path / "two"
+    d.mkdir()
+    (d / "1.csv").write_text("video_id,label\nv,x\n")
+    (d / "2.csv").write_text("label,video_id\ny,w\n")
+    with pytest.raises(Exception):
+        sources.reference_csv(spark, str(d), ["label"]).collect()
+
+
+def test_hashes_are_read_in_blocks(spark, tmp_path):
+    import hashlib
+
+    data = bytes(range(256)) * 5000
+    (tmp_path / "a b.bin").write_bytes(data)
+    (tmp_path / "empty.bin").write_bytes(b"")  # Spark's reader lists no empty files
+    got = {r.path.rpartition("/")[2].replace("%20", " "): (r.length, r.sha256) for r in sources.file_hashes(spark, str(tmp_path), 4096).collect()}
+    assert got == {"a b.bin": (len(data), hashlib.sha256(data).hexdigest())}
+
+
 def test_registered_queries_beside_sql(spark):
     import os
 

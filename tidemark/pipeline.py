@@ -15,6 +15,7 @@ from tidemark.operators.align import context_blocks
 from tidemark.operators.hypotheses import parse_semantics
 from tidemark.operators.memory import searchable_text, split_by_acceptance
 from tidemark.operators.quality import frame_verdicts
+from tidemark.session import scratch
 from tidemark.sources.sinks import overwrite_videos, write_pending
 
 PHASES = ("1", "2", "3", "3.5", "4", "5", "6", "7")
@@ -65,18 +66,22 @@ class Pipeline:
     def _sink(self, rows: DataFrame, name: str) -> None:
         (write_pending if self.config["pipeline.skip_existing"] else overwrite_videos)(rows, f"{self.root}/{name}")
 
+    def _phase(self, name: str, make: Callable[[], DataFrame]) -> None:
+        with scratch(self.spark):  # cut lineage is of no use once the phase's table is written
+            self._sink(make(), name)
+
     def run(self, start: str = "5", end: str = "7", video_id: str | None = None) -> list[str]:
         """The phases that ran, without those whose tables were only looked for; the first failure stops the run."""
         done = []
         for phase in phase_range(start, end):
             if phase == "5":
-                self._sink(context_blocks(self._read("segments", video_id), self._read("captions", video_id), float(self.config["pipeline.time_window_sec"])), "blocks")
+                self._phase("blocks", lambda: context_blocks(self._read("segments", video_id), self._read("captions", video_id), float(self.config["pipeline.time_window_sec"])))
             elif phase == "6":
-                self._sink(semantic_rows(self._read("blocks", video_id), self.language_model), "semantics")
+                self._phase("semantics", lambda: semantic_rows(self._read("blocks", video_id), self.language_model))
             elif phase == "7":
-                self._sink(memory_rows(self._read("semantics", video_id), self._read("blocks", video_id), int(self.config["embeddings.dimension"]), self.embedder), "memory")
+                self._phase("memory", lambda: memory_rows(self._read("semantics", video_id), self._read("blocks", video_id), int(self.config["embeddings.dimension"]), self.embedder))
             elif phase == "3.5":
-                self._sink(frame_verdicts(self._read("frames", video_id), "video_id", "frame_no"), "quality")
+                self._phase("quality", lambda: frame_verdicts(self._read("frames", video_id), "video_id", "frame_no"))
             else:
                 self._read(TABLES[phase], video_id).limit(1).collect()  # media phases: their table must exist
                 continue

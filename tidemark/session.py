@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,14 +40,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for cut lineage: the session's spark.checkpoint.dir, and a temporary one only where that is unset (tests)."""
+    """The folder for cut lineage: the session's spark.checkpoint.dir. Where that is unset a temporary folder serves a session on one
+    machine, as in tests; on a cluster it is an error, as other machines would not see it."""
     sc = spark.sparkContext
     here = sc.getCheckpointDir()
     if here:
         return here
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
-    return folder
+    return sc.getCheckpointDir()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Checkpoints and tables that are written inside go to a folder of their own, which is deleted at the end: results must have been
+    written or collected by then."""
+    before = shared_folder(spark)
+    folder = f"{before}/scratch-{uuid.uuid4().hex}"
+    spark.sparkContext.setCheckpointDir(folder)
+    try:
+        yield folder
+    finally:
+        spark.sparkContext.setCheckpointDir(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,12 +88,11 @@ def frame_map(documents: DataFrame, json_col: str, prefix: str = "frames_fixed/"
 def reference_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """A CSV with header, byte-order mark allowed; missing or repeated columns and ragged rows are errors. Adds source_path."""
     head = spark.read.text(path).limit(1).collect()
-    names = head[0][0].lstrip("﻿").rstrip("\r").split(",") if head else []
-    names = [n.strip('"') for n in names]
+    names = next(csv.reader([head[0][0].lstrip("﻿").rstrip("\r")])) if head else []
     if len(set(names)) != len(names) or not set(required) <= set(names):
         raise ValueError(f"a reference needs unique columns, with {sorted(required)}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", multiLine=True, enforceSchema=True).withColumn("source_path", F.input_file_name())
+    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", multiLine=True, enforceSchema=False).withColumn("source_path", F.input_file_name())
 
 
 def manifest_records(spark: SparkSession, path: str) -> DataFrame:
@@ -107,9 +114,25 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "content").join(order, "path")
 
 
-def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, sha256) of files."""
-    return spark.read.format("binaryFile").load(folder).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def file_hashes(spark: SparkSession, folder: str, block: int = 1 << 20) -> DataFrame:
+    """(path, length, sha256) of files. Only paths are shuffled; each task reads its files in blocks, so their size does not matter. Empty
+    files are left out, as Spark's reader lists none."""
+    names = spark.read.format("binaryFile").load(folder).select("path", "length")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(sha256=[_sha256(p, block) for p in pdf["path"]])
+
+    return names.mapInPandas(work, "path string, length long, sha256 string")
+
+
+def _sha256(path: str, block: int) -> str:
+    fs, inner = pyarrow.fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", path), safe="/:@"))
+    digest = hashlib.sha256()
+    with fs.open_input_stream(inner) as f:
+        while data := f.read(block):
+            digest.update(data)
+    return digest.hexdigest()
 
 
 def media_probes(spark: SparkSession, path: str, tolerance: float = 1e-6) -> DataFrame:

@@ -4,17 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.sources.sinks import overwrite_videos
+from tidemark.operators.memory import latest_deliveries
+from tidemark.session import cut, scratch
+from tidemark.sources.sinks import existing, overwrite_videos
 
 
-def replace_stream(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
-    """Each micro-batch replaces the rows of the videos it holds; a batch that is run again gives the same table."""
-    w = stream.writeStream.foreachBatch(lambda df, _: overwrite_videos(df, path)).option("checkpointLocation", checkpoint)
+def merge_rows(rows: DataFrame, path: str, keys: list[str], ordinal: str) -> None:
+    """Merge rows into a table partitioned by video_id: of rows with the same video_id and `keys` that with the largest `ordinal` stays,
+    whether it is new or was there. Only partitions of the videos in `rows` are read and written; the same rows again change nothing."""
+    there = existing(rows.sparkSession, path)
+    both = rows
+    if there is not None:
+        old = there.withColumn("video_id", F.col("video_id").cast("string")).join(rows.select("video_id").distinct(), "video_id", "left_semi")
+        both = old.unionByName(rows, allowMissingColumns=True)
+    merged = latest_deliveries(both, ["video_id", *keys], ordinal)
+    overwrite_videos(cut(merged) if there is not None else merged, path)  # cut: its source is about to be written over
+
+
+def replace_stream(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, keys: list[str] | None = None, ordinal: str | None = None):
+    """Keyed replacement over a stream. With `keys` and `ordinal` each micro-batch is merged row by row, so a video's rows may come in
+    several batches. Without, a micro-batch must hold each of its videos whole: it replaces their rows. A batch that is run again gives
+    the same table either way."""
+
+    def write(df: DataFrame, _: int) -> None:
+        with scratch(df.sparkSession):
+            merge_rows(df, path, keys, ordinal) if keys is not None else overwrite_videos(df, path)
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
@@ -23,19 +45,29 @@ def windowed_counts(stream: DataFrame, at: str, key: str, width: str = "5 minute
     return stream.withWatermark(at, late).groupBy(F.window(at, width), key).agg(F.count(F.lit(1)).alias("events"))
 
 
-def rate_limited_stream(stream: DataFrame, step: float, late: str = "1 minute") -> DataFrame:
-    """The rate limiter over a stream (video_id, ts, t): within a batch in order of t, across batches by the last kept time."""
+def rate_limited_stream(stream: DataFrame, step: float, late: str = "1 minute", idle_ms: int = 3_600_000) -> DataFrame:
+    """The rate limiter over a stream (video_id, ts, t): within a batch in order of t, across batches by the last kept time.
+
+    A row that comes after a later one was kept is left out. The state is one number per video and is dropped once the watermark has
+    passed the video's last row by `idle_ms`; a video that starts again later starts afresh."""
 
     def limit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("t", kind="stable")
-        kept = []
-        for t in rows["t"]:
+        times, newest, kept = [], state.getCurrentWatermarkMs(), []
+        for pdf in batches:
+            times.append(pdf["t"].to_numpy(np.float64))
+            newest = max(newest, int(pdf["at"].max().timestamp() * 1000))
+        for t in np.sort(np.concatenate(times)):
             if last is None or t - last >= step:
-                kept.append(t)
-                last = t
-        if last is not None:
-            state.update((float(last),))
+                kept.append(float(t))
+                last = float(t)
+        state.update((last,))
+        state.setTimeoutTimestamp(newest + idle_ms)
         yield pd.DataFrame({"video_id": [key[0]] * len(kept), "t": kept})
 
-    return stream.withWatermark("ts", late).groupBy("video_id").applyInPandasWithState(limit, "video_id string, t double", "last double", "append", GroupStateTimeout.NoTimeout)
+    # a stream's watermark begins at the epoch, where a row would count as late: a millisecond later it does not
+    at = stream.select("video_id", (F.col("ts") + F.expr("INTERVAL 0.001 SECOND")).alias("at"), "t").withWatermark("at", late)
+    return at.groupBy("video_id").applyInPandasWithState(limit, "video_id string, t double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
