@@ -91,3 +91,46 @@ def test_images(spark, tmp_path):
     assert abs(got["grad"].luma - grad.mean()) < 1e-9 and len(got["grad"].phash) == 64 and len(got["grad"].reduced_luma) == 64 * 36
     d = spark.createDataFrame([(got["flat"].reduced_luma, got["grad"].reduced_luma)], "a array<int>, b array<int>").select(Q.mean_luma_delta(F.col("a"), F.col("b"))).first()[0]
     assert 100 < d < 120
+
+
+def test_rate_limiter_over_one_continuous_video(spark):
+    """A third of all frames are one video without a pause, so that chunks are entered in the middle of it."""
+    import random
+
+    from tidemark.operators.align import rate_limited
+
+    r = random.Random(7)
+    rows = [("long", round(i * 0.37 + r.random() * 0.3, 3), i) for i in range(900)] + [(f"v{i % 40}", round(r.random() * 60, 3), 1000 + i) for i in range(1500)] + [(None, float(i), 4000 + i) for i in range(30)]
+    rows += [("long", t, 9000 + i) for i, (_, t, _) in enumerate(rows[:50])]
+    df = spark.createDataFrame(rows, "video_id string, timestamp_sec double, caption_id long").withColumn("k", F.lit("x"))
+    for step in (0.1, 5.0, 200.0):
+        want = set()
+        for v in {x[0] for x in rows}:
+            last = None
+            for _, t, i in sorted((x for x in rows if x[0] == v), key=lambda x: (x[1], x[2])):
+                if last is None or t - last >= step:
+                    want.add((v, t, i))
+                    last = t
+        got = {(x.video_id, x.timestamp_sec, x.caption_id) for x in rate_limited(df, step).collect()}
+        assert got == want, step
+    assert rate_limited(df.limit(0), 1.0).count() == 0
+
+
+def test_anchors_against_the_plain_rule(spark):
+    import random
+
+    from tidemark.operators.align import visual_anchors
+
+    r = random.Random(8)
+    frames = [(r.choice(["a", "b"]), round(r.random() * 200, 1), i) for i in range(600)]
+    segments = [("a", 50.0, 60.0), ("b", 10.0, 10.0)]
+    want = set()
+    for v in "ab":
+        kept = []
+        for _, t, i in sorted((x for x in frames if x[0] == v), key=lambda x: x[2]):
+            if not any(s - 2.0 <= t <= e + 2.0 for w, s, e in segments if w == v) and not any(a - 2.0 <= t <= a + 2.0 for a in kept):
+                kept.append(t)
+                want.add((v, i))
+    F_ = spark.createDataFrame(frames, "video_id string, timestamp_sec double, caption_id long")
+    S = spark.createDataFrame(segments, "video_id string, start_sec double, end_sec double")
+    assert {(x.video_id, x.caption_id) for x in visual_anchors(F_, S, 2.0).collect()} == want

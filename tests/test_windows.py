@@ -115,3 +115,28 @@ def test_controls(spark):
     df = spark.createDataFrame([(["a", "b", "c"], [0.0, 1.0, 2.0])], "ids array<string>, times array<double>")
     got = {r.input_order: (r.frame_ids, r.presentation_times) for r in W.presentation_controls(df).collect()}
     assert got["source_reverse"] == (["c", "b", "a"], [2.0, 1.0, 0.0]) and got["same_source_frame_repeated"] == (["a"] * 3, [0.0] * 3)
+
+
+def test_greedy_with_tight_budgets(spark):
+    """Budgets under which only windows that overlap taken ones still fit, far down the ranks."""
+    r = random.Random(21)
+    per_key = {f"k{i}": [(t, None if t == 0 else r.randint(0, 40)) for t in range(r.randint(4, 70))] for i in range(12)}
+    f = frames(spark, per_key).cache()
+    for size, most, budget, novelty in ((4, 3, 9, 1), (4, 5, 11, 1), (3, 4, 7, 2), (5, 3, 12, 2), (4, 3, 12, 2)):
+        got = {(x.k, x.start): x.reason for x in W.select_by_change(f, size, most, budget, novelty).collect()}
+        names = {v: k for k, v in W.CHANGE_REASONS.items()}
+        want = {(k, s): why for k, xs in per_key.items() for s, why in plain([(t, d or 0) for t, d in xs], size, most, budget, novelty).items()}
+        assert {k: names[v] for k, v in got.items()} == want, (size, most, budget, novelty)
+
+
+def test_scratch_is_deleted(spark):
+    import os
+
+    from tidemark.session import cut, scratch, shared_folder, written
+
+    before = shared_folder(spark)
+    with scratch(spark) as folder:
+        assert written(cut(spark.range(5).toDF("i"))).count() == 5
+        path = folder.removeprefix("file:")
+        assert os.listdir(path)
+    assert not os.path.exists(path) and shared_folder(spark).rsplit("/", 1)[0] == before or os.path.exists(before.removeprefix("file:"))

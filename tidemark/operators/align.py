@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import HYPOTHESIS, numbered_id, strip, within
-from tidemark.functions.folds import keep_apart, keep_spaced
 from tidemark.operators.intervals import finite
 from tidemark.operators.numbering import islands, numbered
+from tidemark.operators.ordered import CHUNK, chunked
 
 
 def usable_frames(captions: DataFrame) -> DataFrame:
@@ -38,26 +42,126 @@ def visual_anchors(frames: DataFrame, segments: DataFrame, tolerance: float) ->
     earlier anchor within the tolerance.
 
     Greedy in the order of ids, but only frames within the tolerance of each other matter to one another: a video is cut at larger
-    steps in time and each short stretch is folded alone.
+    steps in time and each stretch is folded alone, with one look-up per frame (kept anchors lie in cells of the tolerance's width).
     """
     points = frames.select(F.col("video_id").alias("k"), F.col("timestamp_sec").alias("t"), F.col("caption_id").alias("id"))
     spans = segments.select(F.col("video_id").alias("k"), F.col("start_sec").alias("s"), F.col("end_sec").alias("e"))
     covered = range_pairs(spans, points, tolerance).select("id").distinct()
-    silent = islands(points.join(covered, "id", "left_anti").select("k", "t", "id"), "k", "t", "id", tolerance + 1e-6, inclusive=False)
-    # Equal times cannot both be anchors: the first id of each instant decides.
-    first = silent.groupBy("k", "island", "t").agg(F.min("id").alias("id"))
-    kept = first.groupBy("k", "island").agg(F.array_sort(F.collect_list(F.struct("id", "t"))).alias("x")).select("k", F.arrays_zip(F.transform("x", lambda r: r.id).alias("ids"), F.transform("x", lambda r: r.t).alias("ts")).alias("x"), keep_apart(F.transform("x", lambda r: r.t), tolerance).alias("kept"))
-    return kept.select("k", "kept", F.explode("x").alias("r")).where(F.array_contains("kept", F.col("r.ts"))).select(F.col("k").alias("video_id"), F.col("r.ids").alias("caption_id"), F.col("r.ts").alias("timestamp_sec"))
+    silent = points.join(covered, "id", "left_anti").groupBy("k", "t").agg(F.min("id").alias("id"))  # of equal times only the first can stay
+    cut_up = islands(silent, "k", "t", "id", tolerance + 1e-6, inclusive=False)
+    kept = cut_up.groupBy("k", "island").applyInPandas(lambda pdf: _apart(pdf, tolerance), _point_type(frames))
+    return kept.select(F.col("k").alias("video_id"), F.col("id").alias("caption_id"), F.col("t").alias("timestamp_sec"))
+
+
+def _point_type(frames: DataFrame) -> str:
+    kind = lambda c: frames.schema[c].dataType.simpleString()
+    return f"k {kind('video_id')}, t double, id {kind('caption_id')}"
+
+
+def _apart(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """In order of id the points with no earlier kept one within the closed tolerance. A cell of the tolerance's width holds at most two
+    kept points, so each point looks at three cells."""
+    pdf = pdf.sort_values("id", kind="stable")
+    cells: dict[int, list[float]] = {}
+    stays = []
+    for t in pdf["t"]:
+        c = math.floor(t / tolerance) if tolerance > 0 else t
+        near = (a for i in ((c - 1, c, c + 1) if tolerance > 0 else (c,)) for a in cells.get(i, ()))
+        free = not any(a - tolerance <= t <= a + tolerance for a in near)
+        if free:
+            cells.setdefault(c, []).append(t)
+        stays.append(free)
+    return pdf.loc[stays, ["k", "t", "id"]]
 
 
 def rate_limited(frames: DataFrame, step: float) -> DataFrame:
-    """Frames kept at a fixed rate: the first of a video, then each that is at least `step` seconds after the last kept one. A step of
-    that size always starts afresh, so a video is folded in stretches between such steps."""
+    """Frames kept at a fixed rate: the first of a video, then each that is at least `step` seconds after the last kept one.
+
+    However long a video is, its frames are range-partitioned by time. Each chunk first says, for every frame on which the limiter may
+    enter it (those up to `step` after its start, and the next), on which time it would leave it; one small fold over the chunks, at
+    most a frame's worth of entries each, settles where it does enter; then the chunks keep their frames independently.
+    """
     points = frames.select(F.col("video_id").alias("k"), F.col("timestamp_sec").alias("t"), F.col("caption_id").alias("id"))
     first = points.groupBy("k", "t").agg(F.min("id").alias("id"))  # of equal times only the first can be kept
-    cut = islands(first, "k", "t", "id", step, inclusive=True)
-    kept = cut.groupBy("k", "island").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("x")).select("k", "x", keep_spaced(F.transform("x", lambda r: r.t), step).alias("kept"))
-    return kept.select("k", "kept", F.explode("x").alias("r")).where(F.array_contains("kept", F.col("r.t"))).select(F.col("k").alias("video_id"), F.col("r.id").alias("caption_id"), F.col("r.t").alias("timestamp_sec"))
+    by = ["k", "t", "id"]
+    rows = chunked(first, by)
+    summaries = rows.groupBy(CHUNK).applyInPandas(lambda pdf: _ways_through(pdf, step), f"{CHUNK} int, k {frames.schema['video_id'].dataType.simpleString()}, head boolean, enter double, leave double")
+    # a chunk's ways are the frames within one step of its start: few, and chunks are as many as partitions
+    entered = summaries.coalesce(1).groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: _entries(pdf, step), f"{CHUNK} int, last double")
+    known = rows.join(F.broadcast(entered), CHUNK, "left")
+    kept = known.groupBy(CHUNK).applyInPandas(lambda pdf: _spaced(pdf, step), _point_type(frames))
+    return kept.select(F.col("k").alias("video_id"), F.col("id").alias("caption_id"), F.col("t").alias("timestamp_sec"))
+
+
+def _by_key(pdf: pd.DataFrame):
+    """(key, sorted times, rows) of each key of a chunk, in order; null keys come first."""
+    pdf = pdf.sort_values(["k", "t"], kind="stable", na_position="first")
+    code = pdf["k"].factorize(use_na_sentinel=False)[0]
+    edges = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(pdf)]
+    for a, b in zip(edges, edges[1:]):
+        part = pdf.iloc[a:b]
+        yield part["k"].iloc[0], part["t"].to_numpy(), part
+
+
+def _jumps(t: np.ndarray, step: float) -> np.ndarray:
+    """For each time the place of the first one at least `step` later (by the same subtraction as the rule)."""
+    to = np.searchsorted(t, t + step)
+    for shift in (-1, 1):  # sums and differences may round differently by a place
+        there = np.clip(to - 1 if shift < 0 else to, 0, len(t) - 1)
+        far = t[there] - t >= step
+        to = np.where((to > 0) & far, to - 1, to) if shift < 0 else np.where((to < len(t)) & ~far, to + 1, to)
+    return to
+
+
+def _ways_through(pdf: pd.DataFrame, step: float) -> pd.DataFrame:
+    """(chunk, k, head, enter, leave) for the first and last key of a chunk: on entering at `enter`, the last kept time is `leave`. head is
+    set for the chunk's first key; of other keys only the first frame can be where the limiter starts."""
+    out, chunk, groups = [], pdf[CHUNK].iloc[0], list(_by_key(pdf))
+    for g, (k, t, _) in enumerate(groups):
+        if 0 < g < len(groups) - 1:
+            continue
+        to = _jumps(t, step)
+        end = np.arange(len(t))
+        for i in range(len(t) - 1, -1, -1):
+            if to[i] < len(t):
+                end[i] = end[to[i]]
+        for i in range(min(len(t), int(to[0]) + 1) if g == 0 else 1):
+            out.append((chunk, k, g == 0, t[i], t[end[i]]))
+    return pd.DataFrame(out, columns=[CHUNK, "k", "head", "enter", "leave"])
+
+
+def _entries(pdf: pd.DataFrame, step: float) -> pd.DataFrame:
+    """(chunk, last): the last kept time before a chunk of the key that the chunk begins with; chunks that begin a key have none."""
+    out, before, last = [], object(), None
+    for chunk, ways in pdf.sort_values([CHUNK, "enter"], kind="stable").groupby(CHUNK, sort=True):
+        head, tail = ways[ways["head"]], ways[~ways["head"]]
+        k = head["k"].iloc[0]
+        same = k == before or (k is None and before is None)
+        if same:
+            out.append((chunk, last))
+            late = head[head["enter"] - last >= step]
+            last = late["leave"].iloc[0] if len(late) else last
+        else:
+            last = head["leave"].iloc[0]
+        before = k
+        if len(tail):
+            before, last = tail["k"].iloc[0], tail["leave"].iloc[0]
+    return pd.DataFrame(out, columns=[CHUNK, "last"])
+
+
+def _spaced(pdf: pd.DataFrame, step: float) -> pd.DataFrame:
+    out = []
+    for g, (_, t, rows) in enumerate(_by_key(pdf)):
+        last, to, keep = rows["last"].iloc[0], _jumps(t, step), []
+        i = 0
+        if g == 0 and not np.isnan(last):
+            far = np.flatnonzero(t - last >= step)
+            i = int(far[0]) if len(far) else len(t)
+        while i < len(t):
+            keep.append(i)
+            i = int(to[i])
+        out.append(rows.iloc[keep][["k", "t", "id"]])
+    return pd.concat(out)
 
 
 def merged_caption(captions: Column, most: int = 3) -> Column:

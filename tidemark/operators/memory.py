@@ -13,7 +13,7 @@ from tidemark.functions.columns import accepted_fact, accepted_flag, nonblank, o
 from tidemark.operators.intervals import finite, valid_range
 from tidemark.operators.numbering import numbered
 from tidemark.operators.ordered import chunked, running_sums
-from tidemark.session import cut
+from tidemark.session import shuffle_partitions
 
 
 def usable_vector(c: Column, dims: int) -> Column:
@@ -50,51 +50,62 @@ def search(memory: DataFrame, query: list[float], k: int, ordinal: str = "ordina
     return ranked.orderBy("distance", ordinal).limit(k)
 
 
-#: Queries of one block; a block of 64-dimensional floats is 4 MB, and each block is one scan of the rows.
-QUERY_BLOCK = 16_384
+#: Rows that one part of a batch search holds in memory (64 MB of 64 floats); every query goes to every part.
+PART_ROWS = 262_144
 
 
 def search_all(rows: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int, dims: int) -> DataFrame:
     """The k nearest rows of every query, itself left out: (query_id, row_id, distance); ties by the smaller id. Exact.
 
-    Both tables have unique ids in `row_id`. The queries are a stated set that is small beside the rows; they are taken in blocks of
-    QUERY_BLOCK, each broadcast to one scan of the rows, where every task keeps its k best per query.
+    Both tables have unique ids in `row_id`. The queries are a stated set that is small beside the rows. One shuffled job: rows are
+    spread over parts of at most some PART_ROWS, each query is sent to each part, and a part's task holds its rows while queries stream
+    by in blocks, k candidates each. Nothing is collected or broadcast.
     """
     spark = rows.sparkSession
-    asked = queries.where(usable_vector(F.col(vector), dims)).select(F.col(row_id).alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    asked = cut(asked)
-    blocks = max(1, -(-asked.count() // (QUERY_BLOCK // 2)))
-    scanned = rows.where(usable_vector(F.col(vector), dims)).select(F.col(row_id).alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    out = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()  # QUERY_BLOCK / 2 on average
-        qid = part["id"].to_numpy()
-        q = np.array([np.asarray(v, np.float32) for v in part["v"]], np.float32).reshape(len(qid), dims)
-        shared = spark.sparkContext.broadcast((qid, q))
-
-        def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qid, q = shared.value
-            best = pd.DataFrame({"query_id": np.empty(0, np.int64), row_id: np.empty(0, np.int64), "distance": np.empty(0)})
-            for pdf in batches:
-                if not len(pdf) or not len(qid):
+    ready = lambda df: df.where(usable_vector(F.col(vector), dims)).select(F.col(row_id).alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    parts = max(shuffle_partitions(spark), -(-rows.count() // PART_ROWS))
+    held = ready(rows).select("id", "v", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    asked = ready(queries).select("id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    streams = held.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "asks")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held, ids, x = None, [], np.empty(0, np.int64), np.empty((0, dims), np.float32)
+        for pdf in batches:
+            for p, group in pdf.groupby("part", sort=True):
+                if p != part:
+                    part, held, ids = p, [], None
+                own, q = group[~group["asks"]], group[group["asks"]]
+                if len(own):
+                    held.append((own["id"].to_numpy(), np.stack(own["v"].to_numpy()).astype(np.float32)))
+                if not len(q):
                     continue
-                ids, x = pdf["id"].to_numpy(), np.array([np.asarray(v, np.float32) for v in pdf["v"]], np.float32)
-                step = max(1, 2_000_000 // len(ids))
-                found = [best]
-                for a in range(0, len(qid), step):
-                    d = np.maximum((q[a : a + step] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q[a : a + step] @ x.T, 0)
-                    d[qid[a : a + step, None] == ids[None]] = np.inf
-                    edge = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-                    i, j = np.nonzero(np.isfinite(d) & (d <= np.where(np.isfinite(edge), edge * 1.001 + 1e-4, np.inf)[:, None]))
-                    exact = ((q[a + i].astype(np.float64) - x[j].astype(np.float64)) ** 2).sum(1)
-                    found.append(pd.DataFrame({"query_id": qid[a + i], row_id: ids[j], "distance": exact}))
-                best = pd.concat(found).sort_values(["query_id", "distance", row_id], kind="stable").groupby("query_id", sort=False).head(k)
-            yield best
-
-        one = scanned.mapInPandas(near, f"query_id long, {row_id} long, distance double")
-        out = one if out is None else out.unionByName(one)
+                if ids is None:  # rows come before queries
+                    ids = np.concatenate([a for a, _ in held]) if held else np.empty(0, np.int64)
+                    x = np.concatenate([a for _, a in held]) if held else np.empty((0, dims), np.float32)
+                    held = []
+                if len(ids):
+                    yield _k_nearest(q["id"].to_numpy(), np.stack(q["v"].to_numpy()).astype(np.float32), ids, x, k, row_id)
+
+    found = streams.mapInPandas(near, f"query_id long, {row_id} long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", row_id)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _k_nearest(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, row_id: str) -> pd.DataFrame:
+    """The k nearest of x for each q by exact distance, ties by the smaller id, itself left out."""
+    found, step = [], max(1, 4_000_000 // len(ids))
+    square = (x**2).sum(1)[None]
+    for a in range(0, len(qid), step):
+        d = np.maximum((q[a : a + step] ** 2).sum(1)[:, None] + square - 2 * q[a : a + step] @ x.T, 0)
+        d[qid[a : a + step, None] == ids[None]] = np.inf
+        edge = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        i, j = np.nonzero(np.isfinite(d) & (d <= np.where(np.isfinite(edge), edge * 1.001 + 1e-4, np.inf)[:, None]))
+        exact = ((q[a + i].astype(np.float64) - x[j].astype(np.float64)) ** 2).sum(1)
+        order = np.lexsort((ids[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append(pd.DataFrame({"query_id": qid[a + i[first]], row_id: ids[j[first]], "distance": exact[first]}))
+    return pd.concat(found)
 
 
 def replace_keys(store: DataFrame, new: DataFrame, key: str, keys: DataFrame) -> DataFrame:

@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import chunked, previous_row, running_sums
+from tidemark.operators.ordered import CHUNK, chunked, previous_row, running_sums
 
 HOT_SHARE = 256
 
 
+def _numbered(df: DataFrame, key: str, by: Sequence[str], name: str) -> DataFrame:
+    """`df` with the row's number within `key` in the order of `by`, and its chunk."""
+    rows = running_sums(chunked(df.withColumn("__one", F.lit(1)), by), by, {"__at": "__one"})
+    first = rows.groupBy(F.col(key).alias("__key")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__w"))
+    joined = spread_join(rows, first, key, "__key", "__w", "__at")
+    return joined.select(*df.columns, CHUNK, (F.col("__at") - F.col("__first")).alias(name))
+
+
 def numbered(df: DataFrame, key: str, order: Sequence[str], name: str = "n", descending: Sequence[str] = ()) -> DataFrame:
     """Adds the row's number (from 0) within `key` by `order`, which must be total. Columns in `descending` are numeric and sort from
     large to small. The rows are range-partitioned, so a large key is split; its first number comes from one row per key."""
     signs = {c: f"__neg_{c}" for c in descending}
     lean = df.select("*", *[(-F.col(c)).alias(a) for c, a in signs.items()])
     by = [key, *[signs.get(c, c) for c in order]]
-    rows = running_sums(chunked(lean.withColumn("__one", F.lit(1)), by), by, {"__at": "__one"})
-    first = rows.groupBy(F.col(key).alias("__key")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__w"))
-    joined = spread_join(rows, first, key, "__key", "__w", "__at")
-    return joined.select(*df.columns, (F.col("__at") - F.col("__first")).alias(name))
+    return _numbered(lean, key, by, name).select(*df.columns, name)
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, key: str, keyed_key: str, weight: str, row_id: str) -> DataFrame:
@@ -41,11 +46,27 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, keyed_key: str, wei
     return both.select(*rows.columns, *[value[c].alias(c) for c in values])
 
 
-def row_windows(df: DataFrame, key: str, number: str, size: int, fields: Sequence[str]) -> DataFrame:
-    """Every complete window of `size` successive rows of a key: key, start (number of its first row), rows (array of structs of
-    `fields`, in order). Each row is sent to the windows it is in, so no key is collected."""
-    sent = df.select(F.col(key), F.col(number).alias("__n"), F.struct(number, *fields).alias("__r"), F.explode(F.sequence(F.greatest(F.col(number) - size + 1, F.lit(0)), F.col(number))).alias("start"))
-    return sent.groupBy(key, "start").agg(F.array_sort(F.collect_list("__r")).alias("rows")).where(F.size("rows") == size)
+def row_windows(df: DataFrame, key: str, order: str | Sequence[str], size: int, fields: Sequence[str]) -> DataFrame:
+    """Every complete window of `size` successive rows of a key by `order` (one column or more), which must be total: key, start (number
+    of its first row within the key), rows (array of structs of the order's columns and `fields`, in order). Null keys are one key.
+
+    The rows are range-partitioned and numbered in chunks; a window is gathered inside its chunk, and where it crosses the chunk's
+    border its other rows come from a list of the following size - 1 rows, one such list per chunk."""
+    order = [order] if isinstance(order, str) else list(order)
+    by, keep = [key, *order], list(dict.fromkeys([key, *order, *fields]))
+    fields = [c for c in keep if c != key]
+    rows = _numbered(df.select(*keep), key, by, "__n")
+    inside = Window.partitionBy(CHUNK).orderBy(*by)
+    row = F.struct(F.col(key).alias("k"), F.struct(*fields).alias("r"))
+    placed = rows.select(F.col(key), "__n", CHUNK, *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.collect_list(row).over(inside.rowsBetween(0, size - 1)).alias("__rows"), F.row_number().over(inside).alias("__rn"))
+    # the first rows of every chunk, in order: at most size - 1 a chunk; what follows the last of a chunk's is what follows the chunk
+    heads = placed.where(F.col("__rn") < size).select(CHUNK, "__rn", F.get("__rows", 0).alias("__row"))
+    follow = Window.partitionBy(F.lit(0)).orderBy(CHUNK, "__rn").rowsBetween(1, size - 1)
+    after = heads.select(CHUNK, "__rn", F.collect_list("__row").over(follow).alias("__after")).groupBy(CHUNK).agg(F.max_by("__after", "__rn").alias("__after"))
+    whole = placed.join(F.broadcast(after), CHUNK, "left")  # at most one row per shuffle partition
+    all_ = F.concat("__rows", F.slice("__after", F.lit(1), size - F.size("__rows")))
+    full = whole.select(F.col(key), F.col("__n").alias("start"), all_.alias("__all")).where((F.size("__all") == size) & F.element_at("__all", -1)["k"].eqNullSafe(F.col(key)))
+    return full.select(key, "start", F.transform("__all", lambda x: x.r).alias("rows"))
 
 
 def row_chunks(df: DataFrame, key: str, number: str, size: int, fields: Sequence[str], least: int = 2) -> DataFrame:

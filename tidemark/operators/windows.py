@@ -1,8 +1,8 @@
 """Candidate windows over ordered frames: metrics, ranks, budgeted greedy and uniform selection, reference coverage.
 
 Frames are (k, id, t, delta): key, unique id, time, and the change against the frame before it (null for the first). A selection holds
-at most `max_windows` windows per key, so it is an array on one row per key; greedy scans are at most that many rounds of a minimum
-per key, never a fold over all candidates of a key.
+at most `max_windows` windows per key, so it is an array on one row per key; greedy scans fold a fixed number of candidates per key,
+never all of them.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def frame_errors(frames: DataFrame) -> DataFrame:
 def window_metrics(frames: DataFrame, size: int) -> DataFrame:
     """(k, start, t0, t1, ids, metric) of every complete window: the mean of the changes after its first frame. Keys with fewer frames
     than `size` have none."""
-    rows = row_windows(numbered(frames, "k", ["t", "id"], "n"), "k", "n", size, ["t", "id", "delta"])
+    rows = row_windows(frames.select("k", "t", "id", "delta"), "k", ["t", "id"], size, ["t", "id", "delta"])
     later = F.slice("rows", 2, size - 1)
     total = F.aggregate(later, F.lit(0.0), lambda s, r: s + r.delta)
     return rows.select("k", "start", F.element_at("rows", 1)["t"].alias("t0"), F.element_at("rows", -1)["t"].alias("t1"), F.transform("rows", lambda r: r.id).alias("ids"), round6(total / (size - 1)).alias("metric"))
@@ -89,18 +89,39 @@ def _used(chosen: Column, size: int) -> Column:
 _CHOSEN = "array<struct<rank:bigint,start:bigint>>"
 
 
-def _greedy(windows: DataFrame, state: DataFrame, size: int, max_windows: int, max_frames: int, novelty: int, rounds: int, first_free: bool) -> DataFrame:
-    """`state` is (key, w, chosen) with one row per key; each round adds to each key its best-ranked admissible window after the last."""
-    for _ in range(rounds):
-        joined = spread_join(windows.select("k", "start", "rank"), state, "k", "key", "w", "rank")
-        c = F.col("chosen")
-        last = F.coalesce(F.array_max(F.transform(c, lambda s: s.rank)), F.lit(0))
-        new = _new_frames(F.col("start"), c, size)
+def _pick(candidates: Column, chosen: Column, size: int, max_windows: int, max_frames: int, novelty: int, first_free: bool, roomy: bool) -> Column:
+    """`chosen` and what the greedy rule adds to it from candidates in order of rank; with `roomy` only while a whole window more would fit."""
+
+    def step(c: Column, w: Column) -> Column:
+        new, used = _new_frames(w.start, c, size), _used(c, size)
         novel = (new >= novelty) | (F.size(c) == 0) if first_free else new >= novelty
-        fits = (F.size(c) < max_windows) & (F.col("rank") > last) & ~F.exists(c, lambda s: s.start == F.col("start")) & novel & (_used(c, size) + new <= max_frames)
-        best = joined.where(fits).groupBy("k").agg(F.min(F.struct(F.col("rank").cast("long").alias("rank"), F.col("start").cast("long").alias("start"))).alias("b"))
-        state = cut(state.join(best, F.col("key").eqNullSafe(F.col("k")), "left").select("key", "w", F.when(F.col("b").isNull(), F.col("chosen")).otherwise(F.concat("chosen", F.array("b"))).alias("chosen")))
-    return state
+        fits = (F.size(c) < max_windows) & ~F.exists(c, lambda s: s.start == w.start) & novel & (used + new <= max_frames)
+        return F.when(fits & (used + size <= max_frames) if roomy else fits, F.concat(c, F.array(w))).otherwise(c)
+
+    return F.aggregate(candidates, chosen, step)
+
+
+def _greedy(windows: DataFrame, state: DataFrame, size: int, max_windows: int, max_frames: int, novelty: int, first_free: bool) -> DataFrame:
+    """`state` is (key, w, chosen) with one row per key; the result has in `chosen` all that is taken.
+
+    While a whole window more fits the frame budget, a window can only be left out for overlapping a taken one, and each taken one has
+    at most 2 * size - 1 windows that overlap it: the next one taken is among the best ranks of a fixed number, which are folded as one
+    list per key. Once no whole window fits, only windows that overlap taken ones can, so those near to these are folded likewise.
+    """
+    best = max_windows * (2 * size - 1) + 1
+    row = F.struct(F.col("rank").cast("long").alias("rank"), F.col("start").cast("long").alias("start"))
+    top = windows.where(F.col("rank") <= best).groupBy("k").agg(F.array_sort(F.collect_list(row)).alias("__top"))
+    met = state.join(top, F.col("key").eqNullSafe(F.col("k")), "left").withColumn("__top", F.coalesce("__top", F.array().cast(_CHOSEN)))
+    state = cut(met.select("key", "w", _pick(F.col("__top"), F.col("chosen"), size, max_windows, max_frames, novelty, first_free, True).alias("chosen")))
+    if max_windows * size <= max_frames:  # the budget never gets tight
+        return state
+    last = F.coalesce(F.array_max(F.transform("chosen", lambda s: s.rank)), F.lit(0))
+    near = F.array_distinct(F.flatten(F.transform("chosen", lambda s: F.sequence(F.greatest(s.start - max_windows * size, F.lit(0)), s.start + max_windows * size))))
+    tight = state.where((F.size("chosen") < max_windows) & (F.size("chosen") > 0)).select("key", last.alias("last"), F.explode(near).alias("at"))
+    found = windows.select("k", "rank", "start").join(tight, F.col("k").eqNullSafe(F.col("key")) & (F.col("start") == F.col("at"))).where(F.col("rank") > F.col("last"))
+    more = found.groupBy(F.col("k").alias("__k")).agg(F.array_sort(F.collect_list(row)).alias("__more"))
+    rows = state.join(more, F.col("key").eqNullSafe(F.col("__k")), "left")
+    return cut(rows.select("key", "w", F.when(F.col("__more").isNull(), F.col("chosen")).otherwise(_pick(F.col("__more"), F.col("chosen"), size, max_windows, max_frames, novelty, first_free, False)).alias("chosen")))
 
 
 def select_by_change(frames: DataFrame, size: int = 4, max_windows: int = 3, max_frames: int = 12, novelty: int | None = None) -> DataFrame:
@@ -112,7 +133,7 @@ def select_by_change(frames: DataFrame, size: int = 4, max_windows: int = 3, max
     novelty = check_budget(size, max_windows, max_frames, novelty)
     windows = ranked_windows(frames, size)
     state = cut(windows.groupBy(F.col("k").alias("key")).agg(F.count(F.lit(1)).alias("w")).withColumn("chosen", F.array().cast(_CHOSEN)))
-    state = _greedy(windows, state, size, max_windows, max_frames, novelty, max_windows, True)
+    state = _greedy(windows, state, size, max_windows, max_frames, novelty, True)
     joined = spread_join(windows, state, "k", "key", "w", "rank")
     before = F.filter("chosen", lambda s: s.rank < F.col("rank"))
     new = _new_frames(F.col("start"), before, size)
@@ -151,7 +172,7 @@ def select_anchored(frames: DataFrame, size: int = 4, max_windows: int = 3, max_
     windows = ranked_windows(frames, size)
     per = frames.groupBy(F.col("k").alias("key")).agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= size)
     starts = F.transform(uniform_starts(F.col("w"), size, anchors, max_frames), lambda s: F.struct(F.lit(0).cast("long").alias("rank"), s.alias("start")))
-    state = _greedy(windows, cut(per.select("key", "w", starts.alias("chosen"))), size, max_windows, max_frames, novelty, max_windows, False)
+    state = _greedy(windows, cut(per.select("key", "w", starts.alias("chosen"))), size, max_windows, max_frames, novelty, False)
     joined = spread_join(windows, state, "k", "key", "w", "rank")
     anchor = F.exists("chosen", lambda s: (s.rank == 0) & (s.start == F.col("start")))
     taken = F.exists("chosen", lambda s: s.start == F.col("start"))
