@@ -87,6 +87,7 @@ def strictly_increasing(times: Column) -> Column:
 
 # --- evidence guards: four rules that differ on purpose --------------------------------------------------------------------------
 
+# The statuses of evidence.
 ACCEPTED = "accepted_independent_evidence"
 HYPOTHESIS = "unvalidated_model_hypothesis"
 DERIVED = "unvalidated_derived_model_hypothesis"
@@ -120,10 +121,12 @@ def evidence_errors(e: Column) -> Column:
     """The names of the rules an evidence struct breaks, in their order."""
     p = e.acceptance_provenance
     rules = [
-        ("not accepted", accepted_fact(e.accepted_as_fact, e.verification_status)),
+        ("not independently accepted", e.verification_status.eqNullSafe(ACCEPTED)),
+        ("not accepted as fact", accepted_flag(e.accepted_as_fact)),
         ("bad interval", F.coalesce(finite(e.start_sec) & finite(e.end_sec) & (e.start_sec <= e.end_sec), F.lit(False))),
         ("no claim", nonblank(e.claim)),
         ("no evidence id", nonblank(e.evidence_id)),
+        ("no acceptance provenance", p.isNotNull()),
         ("bad method", F.coalesce(p.method.isin(*METHODS), F.lit(False))),
         ("source does not match method", F.coalesce(e.source_type == F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])[p.method], F.lit(False))),
         ("no reviewer", nonblank(p.reviewer_or_system)),
@@ -132,8 +135,14 @@ def evidence_errors(e: Column) -> Column:
     return F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules]))
 
 
+def first_error(rules: dict[str, Column]) -> Column:
+    """The name of the first rule that does not hold, in their order; null if all do. A rule that is null does not hold."""
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
+
+
 # --- formats ----------------------------------------------------------------------------------------------------------------------
 
+# Grammars of ids, digests and clock texts.
 SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9_.-]*\z"
 SHA256 = r"^[0-9a-f]{64}\z"
 CLOCK = r"^([0-9]{2,}):([0-5][0-9]):([0-5][0-9])(\.[0-9]{1,9})?\z"

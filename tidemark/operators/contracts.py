@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clock_seconds, https_url, nonblank, overlaps_open, safe_id, sha256_hex
 from tidemark.operators.intervals import finite
+from tidemark.operators.ordered import chunked, previous_row
 from tidemark.session import cut
 
 # Bounds of manifests.
@@ -97,6 +98,8 @@ def label_leaks(labels: DataFrame, corpus: DataFrame, text: str = "text", width:
 def run_state(journal: DataFrame) -> DataFrame:
     """Per run of a journal (run_id, seq, event, generation): its last event, the number of events, and what a new start must do:
     return the stored result of a completed run, refuse any other. Generations that fall are an error."""
-    w = Window.partitionBy("run_id").orderBy("seq")
-    falls = journal.withColumn("p", F.lag("generation").over(w)).groupBy("run_id").agg(F.max_by("event", "seq").alias("last_event"), F.count(F.lit(1)).alias("events"), F.max(F.when(F.col("p") > F.col("generation"), 1).otherwise(0)).alias("falls"))
-    return falls.select("run_id", "last_event", "events", F.when(F.col("last_event") == "completed", "return_stored").otherwise("refuse").alias("on_start"), (F.col("falls") == 1).alias("generation_falls"))
+    order = ["run_id", "seq"]
+    rows = previous_row(chunked(journal.select("run_id", "seq", "event", "generation"), order), order, ["run_id", "generation"])  # a long run is cut into chunks
+    fell = F.coalesce(F.col("prev.run_id").eqNullSafe(F.col("run_id")) & (F.col("prev.generation") > F.col("generation")), F.lit(False))
+    runs = rows.groupBy("run_id").agg(F.max_by("event", "seq").alias("last_event"), F.count(F.lit(1)).alias("events"), F.max(fell).alias("generation_falls"))
+    return runs.select("run_id", "last_event", "events", F.when(F.col("last_event") == "completed", "return_stored").otherwise("refuse").alias("on_start"), "generation_falls")

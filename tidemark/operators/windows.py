@@ -65,12 +65,12 @@ def frame_errors(frames: DataFrame) -> DataFrame:
 
 
 def window_metrics(frames: DataFrame, size: int) -> DataFrame:
-    """(k, start, t0, t1, ids, metric) of every complete window: the mean of the changes after its first frame. Keys with fewer frames
+    """(k, start, t0, t1, ids, times, metric) of every complete window: the mean of the changes after its first frame. Keys with fewer frames
     than `size` have none."""
     rows = row_windows(frames.select("k", "t", "id", "delta"), "k", ["t", "id"], size, ["t", "id", "delta"])
     later = F.slice("rows", 2, size - 1)
     total = F.aggregate(later, F.lit(0.0), lambda s, r: s + r.delta)
-    return rows.select("k", "start", F.element_at("rows", 1)["t"].alias("t0"), F.element_at("rows", -1)["t"].alias("t1"), F.transform("rows", lambda r: r.id).alias("ids"), round6(total / (size - 1)).alias("metric"))
+    return rows.select("k", "start", F.element_at("rows", 1)["t"].alias("t0"), F.element_at("rows", -1)["t"].alias("t1"), F.transform("rows", lambda r: r.id).alias("ids"), F.transform("rows", lambda r: r.t).alias("times"), round6(total / (size - 1)).alias("metric"))
 
 
 def ranked_windows(frames: DataFrame, size: int) -> DataFrame:
@@ -144,7 +144,7 @@ def select_by_change(frames: DataFrame, size: int = 4, max_windows: int = 3, max
         .otherwise(CHANGE_REASONS["selected"])
     )
     taken = F.exists("chosen", lambda s: s.start == F.col("start"))
-    return joined.select("k", numbered_id("change", F.col("start"), F.col("start") + (size - 1)).alias("candidate_id"), "start", "t0", "t1", "ids", "metric", "rank", taken.alias("selected"), reason.alias("reason"))
+    return joined.select("k", numbered_id("change", F.col("start"), F.col("start") + (size - 1)).alias("candidate_id"), "start", "t0", "t1", "ids", "times", "metric", "rank", taken.alias("selected"), reason.alias("reason"))
 
 
 def uniform_starts(count: Column, size: int, max_windows: int, max_frames: int) -> Column:
@@ -162,7 +162,7 @@ def select_uniform(frames: DataFrame, size: int = 4, max_windows: int = 3, max_f
     per = frames.groupBy(F.col("k").alias("key")).agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= size).withColumn("starts", uniform_starts(F.col("w"), size, max_windows, max_frames))
     joined = spread_join(windows, cut(per), "k", "key", "w", "start")
     taken = F.array_contains("starts", F.col("start").cast("long"))
-    return joined.select("k", numbered_id("uniform", F.col("start"), F.col("start") + (size - 1)).alias("candidate_id"), "start", "t0", "t1", "ids", taken.alias("selected"), F.when(taken, UNIFORM_REASONS["selected"]).otherwise(UNIFORM_REASONS["other"]).alias("reason"))
+    return joined.select("k", numbered_id("uniform", F.col("start"), F.col("start") + (size - 1)).alias("candidate_id"), "start", "t0", "t1", "ids", "times", taken.alias("selected"), F.when(taken, UNIFORM_REASONS["selected"]).otherwise(UNIFORM_REASONS["other"]).alias("reason"))
 
 
 def select_anchored(frames: DataFrame, size: int = 4, max_windows: int = 3, max_frames: int = 12, anchors: int = 2, novelty: int | None = None) -> DataFrame:
@@ -186,7 +186,7 @@ def select_anchored(frames: DataFrame, size: int = 4, max_windows: int = 3, max_
         .otherwise(ANCHORED_REASONS["selected"])
     )
     kind = F.when(anchor, "required_uniform_anchor").when(taken, "motion_fill").otherwise("motion_candidate")
-    return joined.select("k", numbered_id("change", F.col("start"), F.col("start") + (size - 1)).alias("candidate_id"), "start", "t0", "t1", "ids", "metric", "rank", taken.alias("selected"), kind.alias("kind"), reason.alias("reason"))
+    return joined.select("k", numbered_id("change", F.col("start"), F.col("start") + (size - 1)).alias("candidate_id"), "start", "t0", "t1", "ids", "times", "metric", "rank", taken.alias("selected"), kind.alias("kind"), reason.alias("reason"))
 
 
 def coverage(references: DataFrame, spans: DataFrame, change: DataFrame, uniform: DataFrame) -> DataFrame:

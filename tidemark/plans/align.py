@@ -31,9 +31,15 @@ def visual_only_anchors(spark, folder):
     return A.visual_anchors(_frames(spark, folder), _segments(spark, folder), TAU)
 
 
+def _said(o):
+    """An observation as one text: model text, frame, hash and provenance."""
+    p = o.model_provenance
+    return F.concat_ws("~", o.raw_model_text, F.array_join(o.frame_ids, ","), F.array_join(o.frame_hashes, ","), *[F.coalesce(p[c], F.lit("")) for c in A.PROVENANCE])
+
+
 def align_context_blocks(spark, folder):
     blocks = A.context_blocks(table(spark, folder, "segments"), table(spark, folder, "captions"), TAU)
-    return blocks.select("video_id", "block_id", "start_sec", "end_sec", "speech", "caption", "frame_count", F.array_join("frame_ids", ",", "?").alias("frame_ids"), F.size("observations").alias("observations"), "visual_status", "source_type", "raw_transcript_segment_id")
+    return blocks.select("video_id", "block_id", "start_sec", "end_sec", "speech", "caption", "frame_count", F.array_join("frame_ids", ",", "?").alias("frame_ids"), F.array_join(F.transform("observations", _said), "; ").alias("observations"), F.flatten(F.transform("observations", lambda o: o.source_pts_sec)).alias("observed_sec"), "visual_status", "source_type", "raw_transcript_segment_id")
 
 
 def rate_limited_frames(spark, folder):
@@ -82,10 +88,10 @@ SQL = {
 b AS (SELECT video_id, start_sec, end_sec, 0 AS kind, segment_id AS ord, trim(coalesce(text, '')) AS speech, coalesce(source_type, 'model_transcript') AS source_type, id AS raw_transcript_segment_id FROM s
       UNION ALL SELECT video_id, timestamp_sec, timestamp_sec, 1, caption_id, '', 'visual_only', NULL FROM a),
 n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_sec, end_sec, kind, ord) - 1 AS n FROM b),
-j AS (SELECT n.video_id, n.n, list(struct_pack(c := caption, i := frame_id, m := (length(caption) > 0 AND length(frame_id) > 0 AND length(model) > 0 AND length(backend) > 0)) ORDER BY caption_id) AS fr FROM n JOIN f ON f.video_id = n.video_id AND timestamp_sec >= start_sec - 2.0 AND timestamp_sec <= end_sec + 2.0 GROUP BY ALL)
+j AS (SELECT n.video_id, n.n, list(struct_pack(c := caption, i := frame_id, m := (length(caption) > 0 AND length(frame_id) > 0 AND length(model) > 0 AND length(backend) > 0), t := coalesce(source_timestamp_sec, timestamp_sec), o := concat_ws('~', caption, frame_id, coalesce(frame_hash, ''), coalesce(model, ''), coalesce(backend, ''), coalesce(device, ''), coalesce(model_revision, ''), coalesce(run_id, ''), coalesce(prompt_sha256, ''))) ORDER BY caption_id) AS fr FROM n JOIN f ON f.video_id = n.video_id AND timestamp_sec >= start_sec - 2.0 AND timestamp_sec <= end_sec + 2.0 GROUP BY ALL)
 SELECT n.video_id, format('ctx_{:04d}', n.n) AS block_id, start_sec, end_sec, speech,
   coalesce(array_to_string(list_reduce(list_filter(list_transform(fr, lambda x: x.c), lambda x: x IS NOT NULL AND x <> ''), lambda acc, x: CASE WHEN len(acc) >= 3 OR list_contains(acc, x) THEN acc ELSE list_append(acc, x) END, []::VARCHAR[]), ' | '), '') AS caption,
-  coalesce(len(fr), 0)::INTEGER AS frame_count, coalesce(array_to_string(list_transform(fr, lambda x: coalesce(x.i, '?')), ','), '') AS frame_ids, coalesce(len(list_filter(fr, lambda x: x.m)), 0)::INTEGER AS observations,
+  coalesce(len(fr), 0)::INTEGER AS frame_count, coalesce(array_to_string(list_transform(fr, lambda x: coalesce(x.i, '?')), ','), '') AS frame_ids, coalesce(array_to_string(list_transform(list_filter(fr, lambda x: x.m), lambda x: x.o), '; '), '') AS observations, coalesce(list_transform(list_filter(fr, lambda x: x.m), lambda x: x.t), []) AS observed_sec,
   CASE WHEN fr IS NULL THEN 'no_visual_observation' ELSE 'unvalidated_model_hypothesis' END AS visual_status, source_type, raw_transcript_segment_id
 FROM n LEFT JOIN j ON j.video_id = n.video_id AND j.n = n.n""",
     "rate_limited_frames": f"WITH {_F}, l AS (SELECT video_id, list(timestamp_sec ORDER BY timestamp_sec, caption_id) AS ts FROM f GROUP BY video_id), k AS (SELECT video_id, list_reduce(ts, lambda acc, t: CASE WHEN len(acc) = 0 OR t - acc[-1] >= 5.0 THEN list_append(acc, t) ELSE acc END, []::DOUBLE[]) AS kept FROM l), e AS (SELECT video_id, unnest(kept) AS timestamp_sec FROM k) SELECT e.video_id, min(caption_id) AS caption_id, e.timestamp_sec FROM e JOIN f USING (video_id, timestamp_sec) GROUP BY ALL",

@@ -87,8 +87,8 @@ def label_firewall(spark, folder):
 
 def journal_state(spark, folder):
     e = table(spark, folder, "events")
-    j = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type")).alias("event"), F.col("event_id").alias("generation"))
-    return C.run_state(j).select("run_id", "last_event", "events", "on_start")
+    j = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type")).alias("event"), F.floor(F.col("event_id") / 40 + F.col("user_id") % 2 * (F.col("event_id") % 3)).alias("generation"))
+    return C.run_state(j)
 
 
 def semantic_integrity(spark, folder):
@@ -160,9 +160,12 @@ _CLK = "format('{{:02d}}:{{:02d}}:{{:02d}}.5', floor({0})::BIGINT // 3600, floor
 _AN = f"""WITH {_S}, a AS (SELECT video_id, CAST(segment_id AS VARCHAR) AS annotation_id, CASE WHEN segment_id % 5 = 0 THEN '0:00:01' ELSE {_CLK.format('start_sec')} END AS start_text, CASE WHEN segment_id % 5 <> 0 THEN floor(start_sec) + 0.5 END AS st, floor(end_sec) + 0.5 AS e, trim(text, ' ') AS label FROM s)"""
 _REF = _AN + """, j AS (SELECT a.*, clip_interval_seconds[1] AS c0, clip_interval_seconds[2] AS c1, concat_ws(',', CASE WHEN st IS NULL THEN 'clock text' END, CASE WHEN NOT coalesce(st >= 0 AND st < e AND e <= source_duration_seconds, false) THEN 'interval' END, CASE WHEN NOT coalesce(regexp_matches(label, '[^\\s\\x{a0}]'), false) THEN 'label' END) AS violations FROM a JOIN videos USING (video_id) WHERE len(clip_interval_seconds) = 2)"""
 _EV = """WITH e AS (SELECT memory_id, video_id, summary AS claim, time_range[1] AS a, time_range[2] AS b, source_type, verification_status AS vs, accepted_as_fact AS f FROM memory_rows),
-x AS (SELECT *, concat_ws(',', CASE WHEN NOT (f IS NOT DISTINCT FROM true AND vs IS NOT DISTINCT FROM 'accepted_independent_evidence') THEN 'not accepted' END, CASE WHEN NOT coalesce(isfinite(a) AND isfinite(b) AND a <= b, false) THEN 'bad interval' END, CASE WHEN NOT coalesce(regexp_matches(claim, '[^\\s\\x{a0}]'), false) THEN 'no claim' END, CASE WHEN source_type IS NULL THEN 'source does not match method' END) AS errors FROM e)"""
+x AS (SELECT *, concat_ws(',', CASE WHEN vs IS DISTINCT FROM 'accepted_independent_evidence' THEN 'not independently accepted' END, CASE WHEN f IS DISTINCT FROM true THEN 'not accepted as fact' END, CASE WHEN NOT coalesce(isfinite(a) AND isfinite(b) AND a <= b, false) THEN 'bad interval' END, CASE WHEN NOT coalesce(regexp_matches(claim, '[^\\s\\x{a0}]'), false) THEN 'no claim' END, CASE WHEN source_type IS NULL THEN 'source does not match method' END) AS errors FROM e)"""
 _HAM = "(0 + bit_count(xor(('0x' || substr(x, 1, 16))::UBIGINT, ('0x' || substr(h, 1, 16))::UBIGINT))::INTEGER + bit_count(xor(('0x' || substr(x, 17, 16))::UBIGINT, ('0x' || substr(h, 17, 16))::UBIGINT))::INTEGER + bit_count(xor(('0x' || substr(x, 33, 16))::UBIGINT, ('0x' || substr(h, 33, 16))::UBIGINT))::INTEGER + bit_count(xor(('0x' || substr(x, 49, 16))::UBIGINT, ('0x' || substr(h, 49, 16))::UBIGINT))::INTEGER)"
 
+_DEAD = """WITH r AS (SELECT memory_id AS answer_id, memory_id % 8 AS form FROM memory_rows WHERE len(time_range) = 2 AND isfinite(time_range[1]) AND isfinite(time_range[2]) AND time_range[2] >= time_range[1]),
+e AS (SELECT answer_id, CASE form WHEN 7 THEN 0 ELSE 1 END AS position, CASE form WHEN 1 THEN 'evidence_frame_indices must reference supplied presentation-frame positions' WHEN 2 THEN 'evidence_frame_indices must use nonnegative integer or digit-string serializations' WHEN 3 THEN 'evidence_frame_indices must not repeat a source frame for a temporal event' WHEN 6 THEN 'event must be an object' WHEN 7 THEN 'invalid JSON' END AS error FROM r WHERE form <> 5)"""
+
 SQL = {
     "quality_verdict": _V + " SELECT event_id, verdict FROM q",
     "quality_stats": _V + " SELECT video_id, count(*) AS candidates, count(*) FILTER (verdict IS NULL) AS usable, count(*) FILTER (verdict = 'unreadable') AS unreadable, count(*) FILTER (verdict = 'blurry') AS blurry, count(*) FILTER (verdict = 'dark') AS dark, count(*) FILTER (verdict = 'bright') AS bright FROM q GROUP BY video_id",
@@ -188,7 +191,12 @@ iw AS (SELECT DISTINCT least(8, len(w)) AS n, array_to_string(w[p:p + least(8, l
 d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
 dw AS (SELECT DISTINCT doc_id, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n))
 SELECT DISTINCT doc_id FROM dw JOIN iw USING (n, s)""",
-    "journal_state": "SELECT user_id AS run_id, CASE arg_max(event_type, event_id) WHEN 'purchase' THEN 'completed' ELSE arg_max(event_type, event_id) END AS last_event, count(*) AS events, CASE arg_max(event_type, event_id) WHEN 'purchase' THEN 'return_stored' ELSE 'refuse' END AS on_start FROM events GROUP BY user_id",
+    "journal_state": "WITH j AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'completed' ELSE event_type END AS event, floor(event_id / 40 + user_id % 2 * (event_id % 3)) AS g FROM events), p AS (SELECT *, coalesce(lag(g) OVER (PARTITION BY run_id ORDER BY seq) > g, false) AS fell FROM j) SELECT run_id, arg_max(event, seq) AS last_event, count(*) AS events, CASE arg_max(event, seq) WHEN 'completed' THEN 'return_stored' ELSE 'refuse' END AS on_start, bool_or(fell) AS generation_falls FROM p GROUP BY run_id",
+    "event_dead_letter": _DEAD + " SELECT answer_id, position, error IS NULL AS valid, coalesce(error, '') AS errors FROM e",
+    "hypothesis_outcomes": _DEAD + """, n AS (SELECT r.answer_id, count(e.answer_id) FILTER (error IS NULL) AS v, count(error) AS i, CASE WHEN form = 0 THEN 1 ELSE 0 END AS s FROM r LEFT JOIN e USING (answer_id) GROUP BY r.answer_id, form)
+SELECT answer_id, v AS valid_events, i AS invalid_events, v = 0 AND i = 0 AS abstention, s AS supported, 0 AS unsupported, 0 AS uncertain, v + i - s AS unreviewed, CASE WHEN s > v + i THEN 'more reviews than events' END AS error FROM n""",
+    "json_contract": r"""WITH m AS (SELECT memory_id, lower(trim(intent, ' ')) AS intent, CASE WHEN intent IS NULL OR summary IS NULL OR model_confidence_unvalidated IS NULL THEN 'missing fields' WHEN len(list_filter(topics, lambda x: x IS NULL)) > 0 THEN 'invalid field topics' WHEN len(list_filter(decisions, lambda x: x IS NULL)) > 0 THEN 'invalid field decisions' WHEN len(list_filter(tasks, lambda x: x IS NULL)) > 0 THEN 'invalid field tasks'
+  WHEN NOT regexp_matches(summary, '[^\s\x{a0}]') OR NOT model_confidence_unvalidated BETWEEN 0 AND 1 THEN 'invalid summary or confidence' WHEN lower(trim(intent, ' ')) NOT IN ('informational', 'planning', 'discussion', 'action', 'personal') THEN 'invalid intent' END AS error FROM memory_rows) SELECT memory_id, error, CASE WHEN error IS NULL THEN intent END AS intent FROM m""",
     "semantic_integrity": "SELECT memory_id, EXISTS (SELECT 1 FROM segments s WHERE s.video_id = m.video_id AND s.id = m.raw_transcript_segment_id) AS found FROM memory_rows m WHERE regexp_matches(searchable_text, '[^\\s\\x{a0}]')",
     "accepted_evidence_errors": _EV + " SELECT memory_id, errors FROM x",
     "answer_or_abstain": _EV + f", {_S}, m AS (SELECT segment_id, string_agg(trim(claim, ' '), ' ' ORDER BY memory_id) AS answer, count(*) AS n FROM s JOIN x ON x.video_id = s.video_id AND errors = '' AND start_sec <= b AND a <= end_sec GROUP BY segment_id) SELECT segment_id AS question_id, CASE WHEN n IS NULL THEN 'abstain' ELSE 'supported' END AS status, coalesce(n, 0)::INTEGER AS evidence, answer FROM s LEFT JOIN m USING (segment_id)",

@@ -75,7 +75,7 @@ def video_summary(spark, folder):
 
 def acceptance_split(spark, folder):
     rows = table(spark, folder, "memory_rows").select("memory_id", "verification_status", "accepted_as_fact", *[F.concat(F.coalesce(F.col(c), F.array().cast("array<string>")), F.coalesce(F.col(f"unvalidated_{c}"), F.array().cast("array<string>"))).alias(c) for c in M.SPLIT])
-    return M.split_by_acceptance(rows).select("memory_id", "accepted_as_fact", *[F.size(c).alias(c) for c in M.SPLIT], *[F.size(f"unvalidated_{c}").alias(f"unvalidated_{c}") for c in M.SPLIT])
+    return M.split_by_acceptance(rows).select("memory_id", "accepted_as_fact", *M.SPLIT, *[f"unvalidated_{c}" for c in M.SPLIT])
 
 
 def searchable_texts(spark, folder):
@@ -159,7 +159,11 @@ WITH c AS (SELECT video_id, sum(CASE WHEN accepted_as_fact THEN coalesce(len(dec
   coalesce(left(string_agg(speech_text, ' ' ORDER BY memory_id) FILTER (speech_text <> ''), 2000), '') AS transcript_head FROM memory_rows GROUP BY video_id),
 t AS (SELECT video_id, string_agg(topic, '; ' ORDER BY encode(topic)) AS topics FROM (SELECT DISTINCT video_id, unnest(topics) AS topic FROM memory_rows WHERE accepted_as_fact) GROUP BY video_id)
 SELECT video_id, coalesce(topics, '') AS topics, decisions, tasks, unvalidated_blocks, blocks, transcript_head FROM c LEFT JOIN t USING (video_id)""",
-    "acceptance_split": f"WITH x AS (SELECT memory_id, {_OK} AS ok, coalesce(len(topics), 0) + coalesce(len(unvalidated_topics), 0) AS t, coalesce(len(decisions), 0) + coalesce(len(unvalidated_decisions), 0) AS d, coalesce(len(tasks), 0) + coalesce(len(unvalidated_tasks), 0) AS k FROM memory_rows) SELECT memory_id, ok AS accepted_as_fact, (CASE WHEN ok THEN t ELSE 0 END)::INTEGER AS topics, (CASE WHEN ok THEN d ELSE 0 END)::INTEGER AS decisions, (CASE WHEN ok THEN k ELSE 0 END)::INTEGER AS tasks, (CASE WHEN ok THEN 0 ELSE t END)::INTEGER AS unvalidated_topics, (CASE WHEN ok THEN 0 ELSE d END)::INTEGER AS unvalidated_decisions, (CASE WHEN ok THEN 0 ELSE k END)::INTEGER AS unvalidated_tasks FROM x",
+    "acceptance_split": f"WITH x AS (SELECT memory_id, {_OK} AS ok, "
+    + ", ".join(f"list_concat(coalesce({c}, []), coalesce(unvalidated_{c}, [])) AS {c[:2]}_" for c in M.SPLIT)
+    + " FROM memory_rows) SELECT memory_id, ok AS accepted_as_fact, "
+    + ", ".join(f"CASE WHEN ok THEN {c[:2] + '_'} ELSE [] END AS {c}, CASE WHEN ok THEN [] ELSE {c[:2] + '_'} END AS unvalidated_{c}" for c in M.SPLIT)
+    + " FROM x",
     "searchable_texts": f"""
 WITH x AS (SELECT memory_id, {_OK} AS ok, summary, list_concat(coalesce(topics, []), coalesce(unvalidated_topics, [])) AS t, intent, coalesce(decisions, []) AS d, coalesce(tasks, []) AS k FROM memory_rows),
 b AS (SELECT memory_id, ok, concat_ws(' | ', CASE WHEN summary <> '' THEN summary END, CASE WHEN len(t) > 0 THEN 'Topics: ' || array_to_string(t, ', ') END, CASE WHEN intent IS NOT NULL THEN 'Entities: ' || intent END, CASE WHEN ok AND len(d) > 0 THEN 'Decisions: ' || array_to_string(d, ' | ') END, CASE WHEN ok AND len(k) > 0 THEN 'Tasks: ' || array_to_string(k, ' | ') END) AS s FROM x)

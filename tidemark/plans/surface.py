@@ -12,7 +12,7 @@ from tidemark.session import table
 
 def embed_stub(spark, folder):
     rows = table(spark, folder, "memory_rows").where("searchable_text IS NOT NULL").select("memory_id", adapters.embed(F.col("searchable_text"), 64).alias("e"))
-    return rows.select("memory_id", F.size("e").alias("dims"))
+    return rows.select("memory_id", F.col("e").alias("embedding"))
 
 
 def caption_stub(spark, folder):
@@ -23,7 +23,7 @@ def caption_stub(spark, folder):
 def llm_stub(spark, folder):
     """Context blocks to semantic rows to memory rows with the stand-in models."""
     blocks = context_blocks(table(spark, folder, "segments"), table(spark, folder, "captions"))
-    return memory_rows(semantic_rows(blocks), blocks, 64).select("video_id", "block_id", "searchable_text", "visual_status")
+    return memory_rows(semantic_rows(blocks), blocks, 64).select("video_id", "block_id", "searchable_text", "visual_status", "embedding")
 
 
 QUERIES = {f.__name__: f for f in (embed_stub, caption_stub, llm_stub)}

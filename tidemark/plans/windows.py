@@ -54,8 +54,8 @@ def coverage_summary(spark, folder):
 
 
 def control_sequences(spark, folder):
-    w = W.select_uniform(_frames(spark, folder)).where("selected").select("candidate_id", "k", F.transform("ids", lambda i: i.cast("string")).alias("ids"), F.array("t0", "t1").alias("times"))
-    return W.presentation_controls(w).select("k", "candidate_id", "input_order", F.array_join("frame_ids", ",").alias("frame_ids"))
+    w = W.select_uniform(_frames(spark, folder)).where("selected").select("candidate_id", "k", F.transform("ids", lambda i: i.cast("string")).alias("ids"), "times")
+    return W.presentation_controls(w).select("k", "candidate_id", "input_order", F.array_join("frame_ids", ",").alias("frame_ids"), "presentation_times")
 
 
 def clip_time_map(spark, folder):
@@ -74,8 +74,8 @@ QUERIES = {f.__name__: f for f in (frame_delta_lag, sliding_window_metric, greed
 
 _F = """WITH e AS (SELECT user_id AS k, event_id AS id, epoch_us(ts) / 1e6 AS t, value AS v FROM events),
 f AS (SELECT *, round(abs(v - lag(v) OVER (PARTITION BY k ORDER BY t, id)), 6) AS delta, row_number() OVER (PARTITION BY k ORDER BY t, id) - 1 AS n, count(*) OVER (PARTITION BY k) AS c FROM e),
-w AS (SELECT *, n AS start, lead(t, 3) OVER o AS t1, lead(id) OVER o AS i1, lead(id, 2) OVER o AS i2, lead(id, 3) OVER o AS i3, round((lead(delta) OVER o + lead(delta, 2) OVER o + lead(delta, 3) OVER o) / 3, 6) AS metric FROM f WINDOW o AS (PARTITION BY k ORDER BY n)),
-m AS (SELECT k, start, t AS t0, t1, metric, id, i1, i2, i3, c FROM w WHERE start + 4 <= c)"""
+w AS (SELECT *, n AS start, lead(t, 3) OVER o AS t1, lead(id) OVER o AS i1, lead(id, 2) OVER o AS i2, lead(id, 3) OVER o AS i3, lead(t) OVER o AS u1, lead(t, 2) OVER o AS u2, round((lead(delta) OVER o + lead(delta, 2) OVER o + lead(delta, 3) OVER o) / 3, 6) AS metric FROM f WINDOW o AS (PARTITION BY k ORDER BY n)),
+m AS (SELECT k, start, t AS t0, t1, u1, u2, metric, id, i1, i2, i3, c FROM w WHERE start + 4 <= c)"""
 _U = """, uc AS (SELECT k, c, least({anchors}, 3, c - 3) AS cnt FROM (SELECT DISTINCT k, c FROM m)),
 us AS (SELECT DISTINCT k, CASE WHEN cnt = 1 THEN 0 ELSE CAST(round_even(i * (c - 4) / (cnt - 1), 0) AS BIGINT) END AS start FROM (SELECT *, unnest(range(cnt)) AS i FROM uc))"""
 _NEW = "len(list_filter(range(s, s + 4), lambda p: len(list_filter(acc, lambda a: p >= a AND p < a + 4)) = 0))"
@@ -99,6 +99,9 @@ SQL = {
     "frame_delta_lag": _F + " SELECT id, delta FROM f",
     "sliding_window_metric": _F + " SELECT k, start, t0, t1, round(metric, 5) AS metric FROM m",
     "greedy_budget_select": _F + _G + f" SELECT m.k, {_CHG} AS candidate_id FROM m JOIN g USING (k, start)",
+    "greedy_budget_reasons": _F + _G + f""", rk AS (SELECT k, start AS s, row_number() OVER (PARTITION BY k ORDER BY metric DESC, t0) AS r FROM m), ch AS (SELECT rk.k, list(struct_pack(r := r, s := s)) AS c FROM rk JOIN g ON g.k = rk.k AND g.start = rk.s GROUP BY rk.k),
+b AS (SELECT rk.k, s, list_transform(list_filter(c, lambda x: x.r < rk.r), lambda x: x.s) AS acc FROM rk JOIN ch USING (k))
+SELECT CASE WHEN len(acc) >= 3 THEN '{W.CHANGE_REASONS["windows"]}' WHEN len(acc) > 0 AND {_NEW} < 2 THEN '{W.CHANGE_REASONS["novelty"]}' WHEN {_USED} + {_NEW} > 12 THEN '{W.CHANGE_REASONS["frames"]}' ELSE '{W.CHANGE_REASONS["selected"]}' END AS reason, count(*) AS windows FROM b GROUP BY 1""",
     "uniform_windows_select": _F + _U.format(anchors=3) + f" SELECT m.k, {_UNI} AS candidate_id FROM m JOIN us USING (k, start)",
     "anchored_select": _F
     + _U.format(anchors=2)
@@ -107,7 +110,7 @@ g AS (SELECT k, a, unnest(list_reduce(l, lambda acc, s: CASE WHEN list_contains(
 SELECT m.k, {_CHG} AS candidate_id, CASE WHEN list_contains(g.a, m.start) THEN 'required_uniform_anchor' ELSE 'motion_fill' END AS kind FROM m JOIN g USING (k, start)""",
     "coverage_references": _COV + " SELECT ref, in_span, change_ids, uniform_ids, change_containing, uniform_containing FROM cv",
     "coverage_summary": _COV + " SELECT k, count(*) AS covered, sum((change_ids = '')::INT)::BIGINT AS dropped_by_change, sum((uniform_ids = '')::INT)::BIGINT AS dropped_by_uniform, sum((change_containing <> '')::INT)::BIGINT AS contained_by_change, sum((uniform_containing <> '')::INT)::BIGINT AS contained_by_uniform FROM cv WHERE in_span GROUP BY k",
-    "control_sequences": _F + _U.format(anchors=3) + f", x AS (SELECT m.k, {_UNI} AS candidate_id, [m.id, i1, i2, i3] AS ids FROM m JOIN us USING (k, start)) SELECT k, candidate_id, input_order, array_to_string(CASE input_order WHEN 'source_chronological' THEN ids WHEN 'source_reverse' THEN list_reverse(ids) ELSE [ids[1], ids[1], ids[1], ids[1]] END, ',') AS frame_ids FROM x, (VALUES ('source_chronological'), ('source_reverse'), ('same_source_frame_repeated')) v(input_order)",
+    "control_sequences": _F + _U.format(anchors=3) + f", x AS (SELECT m.k, {_UNI} AS candidate_id, [m.id, i1, i2, i3] AS ids, [t0, u1, u2, t1] AS ts FROM m JOIN us USING (k, start)) SELECT k, candidate_id, input_order, array_to_string(CASE input_order WHEN 'source_chronological' THEN ids WHEN 'source_reverse' THEN list_reverse(ids) ELSE [ids[1], ids[1], ids[1], ids[1]] END, ',') AS frame_ids, CASE input_order WHEN 'source_chronological' THEN ts WHEN 'source_reverse' THEN list_reverse(ts) ELSE [ts[1], ts[1], ts[1], ts[1]] END AS presentation_times FROM x, (VALUES ('source_chronological'), ('source_reverse'), ('same_source_frame_repeated')) v(input_order)",
     "clip_time_map": "WITH v AS (SELECT video_id, clip_interval_seconds[1] AS a, clip_interval_seconds[2] AS b FROM videos WHERE len(clip_interval_seconds) = 2) SELECT video_id, coalesce(a >= 0 AND b > a, false) AS valid, CASE WHEN a >= 0 AND b > a THEN round(round(a + (b - a) / 2, 6), 3) END AS middle_sec FROM v",
     "visual_token_budget": "WITH g AS (SELECT p_partkey, 2 * (p_size + 1) * (p_partkey % 40 + 1) AS r FROM part) SELECT p_partkey, CAST(r // 4 AS BIGINT) AS tokens FROM g WHERE r % 4 = 0 AND r // 4 <= 2304",
 }
