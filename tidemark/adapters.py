@@ -115,6 +115,29 @@ def generate(prompt: Column, model: Callable[[str], str] | None = None) -> Colum
     return work(prompt)
 
 
+def http_model(url: str, name: str, temperature: float = 0.0, most_tokens: int = 512, timeout: float = 120.0, probe: float = 5.0) -> Callable[[str], str]:
+    """A language model behind a local HTTP endpoint (GET /api/tags, POST /api/generate). It is asked once here whether it is there;
+    an answer that does not come within `timeout` seconds, or is no JSON with a response, is an error."""
+    from urllib.request import Request, urlopen
+
+    base = url.rstrip("/")
+    try:
+        with urlopen(f"{base}/api/tags", timeout=probe) as r:  # noqa: S310
+            r.read()
+    except OSError as e:
+        raise ConnectionError(f"no language model at {base}") from e
+
+    def ask(prompt: str) -> str:
+        body = {"model": name, "prompt": prompt, "stream": False, "options": {"temperature": temperature, "num_predict": most_tokens}}
+        try:
+            with urlopen(Request(f"{base}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"}), timeout=timeout) as r:  # noqa: S310
+                return json.loads(r.read())["response"]
+        except (OSError, ValueError, KeyError) as e:
+            raise RuntimeError("the language model gave no answer") from e
+
+    return ask
+
+
 def extraction_prompt(speech: Column, caption: Column) -> Column:
     """The question put to a language model about one context block."""
     return F.concat(F.lit("Return one JSON object with topics, decisions, tasks, people, entities (lists of text), intent, summary, confidence.\nSpeech: "), F.coalesce(speech, F.lit("")), F.lit("\nUnvalidated visual observation: "), F.when(nonblank(caption), caption).otherwise("none"))

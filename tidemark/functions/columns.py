@@ -108,6 +108,11 @@ def card_status(status: Column, source_type: Column) -> Column:
     return F.when(F.length(status) > 0, status).otherwise(F.when(source_type == "model", HYPOTHESIS).otherwise("unvalidated_or_unknown"))
 
 
+def card_range(time_range: Column, frame_sec: Column) -> Column:
+    """Cards: the range, else the instant of the frame, else null."""
+    return F.coalesce(time_range, F.when(frame_sec.isNotNull(), F.array(frame_sec, frame_sec)))
+
+
 def policy_accepted(e: Column) -> Column:
     """Policy: flags, interval, claim, id, method, source and reviewer of an evidence struct all hold."""
     return F.size(evidence_errors(e)) == 0

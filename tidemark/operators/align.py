@@ -172,10 +172,14 @@ def merged_caption(captions: Column, most: int = 3) -> Column:
 PROVENANCE = ("model", "backend", "device", "model_revision", "run_id", "prompt_sha256")
 
 
+# What a block keeps of each of its frames.
+FRAME_FIELDS = ("frame_id", "timestamp_sec", "source_timestamp_sec", "source_path", "source_type", "model", "backend", "device")
+
+
 def context_blocks(segments: DataFrame, captions: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Context blocks of every video: speech segments and visual-only anchors with the frames around them.
 
-    Output: video_id, block_id, start_sec, end_sec, speech, confidence, caption, frame_count, frame_ids, observations (as structs),
+    Output: video_id, block_id, start_sec, end_sec, speech, confidence, caption, frame_count, frame_ids, frames (FRAME_FIELDS of each), observations (as structs),
     visual_status, source_type, raw_transcript_segment_id, duration_sec. Blocks are numbered per video by (start, end), speech before
     anchors, then ordinal. Frames keep the order of their ids. A segment without frames has an empty caption and the status
     no_visual_observation. Invalid segments and frames (see usable_*) are left out.
@@ -187,8 +191,9 @@ def context_blocks(segments: DataFrame, captions: DataFrame, tolerance: float =
     blocks = numbered(speech.unionByName(visual), "video_id", ["s", "e", "kind", "ord"], "n")
     spans = blocks.select(F.col("video_id").alias("k"), "s", "e", "n")
     seen = [c for c in PROVENANCE if c in frames.columns]
-    points = frames.select(F.col("video_id").alias("k"), F.col("timestamp_sec").alias("t"), "caption_id", "frame_id", "caption", "source_timestamp_sec", "frame_hash", *seen)
-    row = F.struct("caption_id", "frame_id", "t", "caption", "source_timestamp_sec", "frame_hash", *seen)
+    also = [c for c in FRAME_FIELDS if c in frames.columns and c not in (*seen, "frame_id", "timestamp_sec", "source_timestamp_sec")]
+    points = frames.select(F.col("video_id").alias("k"), F.col("timestamp_sec").alias("t"), "caption_id", "frame_id", "caption", "source_timestamp_sec", "frame_hash", *also, *seen)
+    row = F.struct("caption_id", "frame_id", "t", "caption", "source_timestamp_sec", "frame_hash", *also, *seen)
     met = range_pairs(spans, points, tolerance).groupBy("k", "n").agg(F.array_sort(F.collect_list(row)).alias("frames"))
     full = blocks.join(met.withColumnRenamed("k", "video_id"), ["video_id", "n"], "left").withColumn("frames", F.coalesce("frames", F.array().cast(met.schema["frames"].dataType)))
 
@@ -208,6 +213,7 @@ def context_blocks(segments: DataFrame, captions: DataFrame, tolerance: float =
         merged_caption(F.transform("frames", lambda f: f.caption)).alias("caption"),
         F.size("frames").alias("frame_count"),
         F.transform("frames", lambda f: f.frame_id).alias("frame_ids"),
+        F.transform("frames", lambda f: F.struct(*[(f.t if c == "timestamp_sec" else f[c]).alias(c) for c in FRAME_FIELDS if c in (*also, *seen, "frame_id", "timestamp_sec", "source_timestamp_sec")])).alias("frames"),
         F.transform(usable, observation).alias("observations"),
         F.when(F.size("frames") > 0, HYPOTHESIS).otherwise("no_visual_observation").alias("visual_status"),
         "source_type",

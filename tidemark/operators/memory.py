@@ -173,6 +173,19 @@ def video_summaries(rows: DataFrame, ordinal: str = "memory_id", prompt_chars: i
     return counts.join(topics, "video_id", "left").join(text, "video_id", "left").select("video_id", F.coalesce("topics", none).alias("topics"), "decisions", "tasks", "unvalidated_blocks", "blocks", F.coalesce("transcript_head", F.lit("")).alias("transcript_head"))
 
 
+def video_rollups(rows: DataFrame, ordinal: str = "memory_id") -> DataFrame:
+    """The whole rollup of each video: its distinct accepted topics in order, accepted decisions and tasks as they come, the number of
+    blocks and of those left out, and all its speech in order. Such a row is as large as what it lists, which is what it is asked for;
+    `video_summaries` has numbers and what a prompt takes instead. Null and empty speech is left out, nulls in lists stay."""
+    ok = accepted_flag(F.col("accepted_as_fact"))
+    none = F.array().cast("array<string>")
+    mine = lambda c: F.when(ok, F.coalesce(F.col(c), none)).otherwise(none)
+    each = F.struct(F.col(ordinal).alias("o"), mine("topics").alias("topics"), mine("decisions").alias("decisions"), mine("tasks").alias("tasks"), F.when(F.length("speech_text") > 0, F.col("speech_text")).alias("speech"))
+    all_ = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(each)).alias("b"), F.sum(F.when(ok, 0).otherwise(1)).alias("unvalidated_blocks"), F.count(F.lit(1)).alias("blocks"))
+    joined = lambda c: F.flatten(F.transform("b", lambda x: x[c]))
+    return all_.select("video_id", F.array_sort(F.array_distinct(joined("topics"))).alias("topics"), joined("decisions").alias("decisions"), joined("tasks").alias("tasks"), "unvalidated_blocks", "blocks", F.concat_ws(" ", F.transform("b", lambda x: x.speech)).alias("transcript"))
+
+
 def list_events(rows: DataFrame, limit: int, video_id: str | None = None, ordinal: str = "memory_id") -> DataFrame:
     """The first `limit` rows in order of insertion."""
     return (rows if video_id is None else rows.where(F.col("video_id") == video_id)).orderBy(ordinal).limit(limit)

@@ -63,7 +63,7 @@ def leader_dedup(rows: DataFrame, key: str, order: str, hash_col: str, bits: int
     return lean.join(fate, ["k", "h"], "left").select(F.col("k").alias(key), F.col("o").alias(order), F.col("h").alias(hash_col), F.when(F.col("leader") != F.col("o"), F.col("leader")).alias("duplicate_of"))
 
 
-# --- image statistics: raw grey (P5) and colour (P6) images; other codecs are the caller's -------------------------------------------
+# --- image statistics: raw grey (P5) and colour (P6) images; the codecs of Spark's image source come decoded -------------------------------------------
 
 
 def decode_raw(content: bytes) -> np.ndarray | None:
@@ -107,27 +107,83 @@ def image_statistics(images: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                x = decode_raw(bytes(content)) if content is not None else None
-                if x is None:
-                    out.append((path, None, None, None, None))
-                    continue
-                p = np.pad(x, 1, mode="reflect") if min(x.shape) > 1 else np.pad(x, 1, mode="edge")
-                lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * x
-                out.append((path, float(lap.var()), float(x.mean()), perceptual_hash(x), resized(x, 36, 64).round().astype(int).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["path", "sharpness", "luma", "phash", "reduced_luma"])
+            yield _statistics((p, decode_raw(bytes(c)) if c is not None else None) for p, c in zip(pdf["path"], pdf["content"]))
 
-    return images.select("path", "content").mapInPandas(work, "path string, sharpness double, luma double, phash string, reduced_luma array<int>")
+    return images.select("path", "content").mapInPandas(work, _STATISTICS)
+
+
+_STATISTICS = "path string, sharpness double, luma double, phash string, reduced_luma array<int>"
+
+
+def _statistics(decoded) -> pd.DataFrame:
+    out = []
+    for path, x in decoded:
+        if x is None:
+            out.append((path, None, None, None, None))
+            continue
+        p = np.pad(x, 1, mode="reflect") if min(x.shape) > 1 else np.pad(x, 1, mode="edge")
+        lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * x
+        out.append((path, float(lap.var()), float(x.mean()), perceptual_hash(x), resized(x, 36, 64).round().astype(int).ravel().tolist()))
+    return pd.DataFrame(out, columns=["path", "sharpness", "luma", "phash", "reduced_luma"])
+
+
+def luma_of(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray | None:
+    """Luma of decoded pixels as Spark's image source gives them (blue, green, red, and alpha last); None without an image."""
+    if not pixels or height <= 0 or width <= 0:
+        return None
+    x = np.frombuffer(pixels, np.uint8).reshape(height, width, channels).astype(np.float64)
+    return x[:, :, 0] if channels == 1 else x[:, :, :3] @ np.array([0.114, 0.587, 0.299])
+
+
+def pixel_statistics(images: DataFrame) -> DataFrame:
+    """image_statistics of decoded images (path, height, width, channels, pixels), as sources.decoded_images reads them."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _statistics((p, luma_of(bytes(d) if d is not None else b"", h, w, c)) for p, h, w, c, d in zip(pdf["path"], pdf["height"], pdf["width"], pdf["channels"], pdf["pixels"]))
+
+    return images.select("path", "height", "width", "channels", "pixels").mapInPandas(work, _STATISTICS)
+
+
+def normalised_images(images: DataFrame, short: int = 512, square: int | None = None) -> DataFrame:
+    """(path, height, width, pixels) in red, green, blue, with the shorter side `short` and the proportions kept, or a centred square of
+    side `square`. Images that could not be decoded have null pixels; sizes are by area average, larger ones by the nearest pixel."""
+
+    def one(d, h: int, w: int, c: int):
+        if luma_of(d, h, w, c) is None:
+            return None, None, None
+        x = np.frombuffer(d, np.uint8).reshape(h, w, c)
+        x = np.repeat(x, 3, axis=2) if c == 1 else x[:, :, 2::-1]
+        if square:
+            n = min(h, w)
+            a, b = (h - n) // 2, (w - n) // 2
+            x, nh, nw = x[a : a + n, b : b + n], square, square
+        else:
+            nh, nw = (int(h * short / w), short) if w < h else (short, int(w * short / h))
+        planes = [resized(x[:, :, i].astype(np.float64), nh, nw).round().clip(0, 255).astype(np.uint8) for i in range(3)]
+        return nh, nw, np.stack(planes, axis=2).tobytes()
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, *one(bytes(d) if d is not None else b"", h, w, c)) for p, h, w, c, d in zip(pdf["path"], pdf["height"], pdf["width"], pdf["channels"], pdf["pixels"])]
+            yield pd.DataFrame(rows, columns=["path", "height", "width", "pixels"]).astype({"height": "Int32", "width": "Int32"})
+
+    return images.select("path", "height", "width", "channels", "pixels").mapInPandas(work, "path string, height int, width int, pixels binary")
 
 
 def frame_verdicts(frames: DataFrame, key: str, order: str) -> DataFrame:
     """(key, order, path, sharpness, luma, phash, verdict, duplicate_of) of frames (key, order, path, content), `order` unique whole
     numbers and `path` unique: the verdicts in turn, then duplicates among the frames that pass these; the rest are usable."""
     rows = cut(frames.select(key, order, "path").join(image_statistics(frames).select("path", "sharpness", "luma", "phash"), "path").withColumn("verdict", verdict(F.col("sharpness"), F.col("luma"))))
-    fate = leader_dedup(rows.where("verdict IS NULL"), key, order, "phash").select(order, "duplicate_of")
+    return with_duplicates(rows, key, order, "phash").select(key, order, "path", "sharpness", "luma", "phash", "verdict", "duplicate_of")
+
+
+def with_duplicates(rows: DataFrame, key: str, order: str, hash_col: str) -> DataFrame:
+    """`rows` with their `verdict` completed, and duplicate_of: those without a verdict enter the search for duplicates among their key's,
+    in the order of `order`; what is found there is a duplicate, the rest is usable."""
+    fate = leader_dedup(rows.where("verdict IS NULL"), key, order, hash_col).select(F.col(order).alias("__o"), "duplicate_of")
     last = F.coalesce("verdict", F.when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("usable"))
-    return rows.join(fate, order, "left").select(key, order, "path", "sharpness", "luma", "phash", last.alias("verdict"), "duplicate_of")
+    return rows.join(fate, F.col(order) == F.col("__o"), "left").drop("__o").withColumn("verdict", last)
 
 
 def mean_luma_delta(a: Column, b: Column) -> Column:

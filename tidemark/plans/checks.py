@@ -30,6 +30,22 @@ def quality_stats(spark, folder):
     return Q.verdict_counts(rows, "video_id").drop("duplicate")
 
 
+def _cascade(spark, folder):
+    """Captions as frames: measures made of their ids, and their hashes."""
+    i = F.col("caption_id")
+    rows = table(spark, folder, "captions").select("video_id", "caption_id", "frame_hash", F.when(i % 50 != 0, (i % 97 * 3).cast("double")).alias("sharpness"), (i % 53 * 5).cast("double").alias("luma"))
+    return Q.with_duplicates(rows.withColumn("verdict", Q.verdict(F.col("sharpness"), F.col("luma"))), "video_id", "caption_id", "frame_hash")
+
+
+def quality_cascade(spark, folder):
+    """Every frame's last verdict, and what it is a duplicate of."""
+    return _cascade(spark, folder).select("video_id", "caption_id", "verdict", "duplicate_of")
+
+
+def quality_cascade_stats(spark, folder):
+    return Q.verdict_counts(_cascade(spark, folder), "video_id")
+
+
 def leader_dedup(spark, folder):
     return Q.leader_dedup(table(spark, folder, "captions"), "video_id", "caption_id", "frame_hash").select("video_id", "caption_id", "duplicate_of")
 
@@ -152,7 +168,7 @@ def json_contract(spark, folder):
     return table(spark, folder, "memory_rows").select("memory_id", H.parse_semantics(text).alias("p")).select("memory_id", F.col("p.error").alias("error"), F.col("p.intent").alias("intent"))
 
 
-QUERIES = {f.__name__: f for f in (quality_verdict, quality_stats, leader_dedup, exact_dup_hash, manifest_violations, url_contract, checksum_contract, timestamp_text_seconds, reference_clip_rebase, reference_rejects, label_firewall, journal_state, semantic_integrity, accepted_evidence_errors, answer_or_abstain, sequence_states, event_dead_letter, hypothesis_outcomes, json_contract)}
+QUERIES = {f.__name__: f for f in (quality_verdict, quality_stats, quality_cascade, quality_cascade_stats, leader_dedup, exact_dup_hash, manifest_violations, url_contract, checksum_contract, timestamp_text_seconds, reference_clip_rebase, reference_rejects, label_firewall, journal_state, semantic_integrity, accepted_evidence_errors, answer_or_abstain, sequence_states, event_dead_letter, hypothesis_outcomes, json_contract)}
 
 _V = "WITH r AS (SELECT user_id AS video_id, event_id, CASE WHEN (props->>'$.k')::DOUBLE >= 5 THEN value * 8 END AS s, (props->>'$.k')::DOUBLE * 2.6 AS l FROM events), q AS (SELECT *, CASE WHEN s IS NULL OR l IS NULL THEN 'unreadable' WHEN s < 60 THEN 'blurry' WHEN l < 40 THEN 'dark' WHEN l > 215 THEN 'bright' END AS verdict FROM r)"
 _S = "s AS (SELECT * FROM segments WHERE isfinite(start_sec) AND isfinite(end_sec) AND end_sec >= start_sec)"
@@ -163,18 +179,24 @@ _EV = """WITH e AS (SELECT memory_id, video_id, summary AS claim, time_range[1]
 x AS (SELECT *, concat_ws(',', CASE WHEN vs IS DISTINCT FROM 'accepted_independent_evidence' THEN 'not independently accepted' END, CASE WHEN f IS DISTINCT FROM true THEN 'not accepted as fact' END, CASE WHEN NOT coalesce(isfinite(a) AND isfinite(b) AND a <= b, false) THEN 'bad interval' END, CASE WHEN NOT coalesce(regexp_matches(claim, '[^\\s\\x{a0}]'), false) THEN 'no claim' END, CASE WHEN source_type IS NULL THEN 'source does not match method' END) AS errors FROM e)"""
 _HAM = "(0 + bit_count(xor(('0x' || substr(x, 1, 16))::UBIGINT, ('0x' || substr(h, 1, 16))::UBIGINT))::INTEGER + bit_count(xor(('0x' || substr(x, 17, 16))::UBIGINT, ('0x' || substr(h, 17, 16))::UBIGINT))::INTEGER + bit_count(xor(('0x' || substr(x, 33, 16))::UBIGINT, ('0x' || substr(h, 33, 16))::UBIGINT))::INTEGER + bit_count(xor(('0x' || substr(x, 49, 16))::UBIGINT, ('0x' || substr(h, 49, 16))::UBIGINT))::INTEGER)"
 
+_LEAD = f"""l AS (SELECT video_id, list(hash ORDER BY caption_id) AS hs FROM c WHERE hash IS NOT NULL GROUP BY video_id),
+k AS (SELECT video_id, list_reduce(hs, lambda acc, h: CASE WHEN len(list_filter(acc, lambda x: {_HAM} <= 6)) > 0 THEN acc ELSE list_append(acc, h) END, []::VARCHAR[]) AS kept FROM l),
+d AS (SELECT c.video_id, c.caption_id, list_filter(kept, lambda x: {_HAM.replace('substr(h,', 'substr(c.hash,')} <= 6)[1] AS leader FROM c JOIN k USING (video_id) WHERE c.hash IS NOT NULL),
+f AS (SELECT video_id, hash, min(caption_id) AS first_id FROM c WHERE hash IS NOT NULL GROUP BY ALL),
+z AS (SELECT c.video_id, c.caption_id, CASE WHEN f.first_id <> c.caption_id THEN f.first_id END AS duplicate_of FROM c LEFT JOIN d USING (video_id, caption_id) LEFT JOIN f ON f.video_id = c.video_id AND f.hash = d.leader)"""
+_CASC = f"""WITH r AS (SELECT *, CASE WHEN caption_id % 50 <> 0 THEN caption_id % 97 * 3 END AS s, caption_id % 53 * 5 AS b FROM captions), v AS (SELECT *, CASE WHEN s IS NULL THEN 'unreadable' WHEN s < 60 THEN 'blurry' WHEN b < 40 THEN 'dark' WHEN b > 215 THEN 'bright' END AS v0 FROM r),
+c AS (SELECT video_id, caption_id, CASE WHEN regexp_full_match(frame_hash, '[0-9a-f]{{64}}') THEN frame_hash END AS hash FROM v WHERE v0 IS NULL), {_LEAD},
+q AS (SELECT v.video_id, v.caption_id, coalesce(v0, CASE WHEN duplicate_of IS NULL THEN 'usable' ELSE 'duplicate' END) AS verdict, duplicate_of FROM v LEFT JOIN z USING (video_id, caption_id))"""
+
 _DEAD = """WITH r AS (SELECT memory_id AS answer_id, memory_id % 8 AS form FROM memory_rows WHERE len(time_range) = 2 AND isfinite(time_range[1]) AND isfinite(time_range[2]) AND time_range[2] >= time_range[1]),
 e AS (SELECT answer_id, CASE form WHEN 7 THEN 0 ELSE 1 END AS position, CASE form WHEN 1 THEN 'evidence_frame_indices must reference supplied presentation-frame positions' WHEN 2 THEN 'evidence_frame_indices must use nonnegative integer or digit-string serializations' WHEN 3 THEN 'evidence_frame_indices must not repeat a source frame for a temporal event' WHEN 6 THEN 'event must be an object' WHEN 7 THEN 'invalid JSON' END AS error FROM r WHERE form <> 5)"""
 
 SQL = {
     "quality_verdict": _V + " SELECT event_id, verdict FROM q",
     "quality_stats": _V + " SELECT video_id, count(*) AS candidates, count(*) FILTER (verdict IS NULL) AS usable, count(*) FILTER (verdict = 'unreadable') AS unreadable, count(*) FILTER (verdict = 'blurry') AS blurry, count(*) FILTER (verdict = 'dark') AS dark, count(*) FILTER (verdict = 'bright') AS bright FROM q GROUP BY video_id",
-    "leader_dedup": f"""WITH c AS (SELECT video_id, caption_id, CASE WHEN regexp_full_match(frame_hash, '[0-9a-f]{{64}}') THEN frame_hash END AS hash FROM captions),
-l AS (SELECT video_id, list(hash ORDER BY caption_id) AS hs FROM c WHERE hash IS NOT NULL GROUP BY video_id),
-k AS (SELECT video_id, list_reduce(hs, lambda acc, h: CASE WHEN len(list_filter(acc, lambda x: {_HAM} <= 6)) > 0 THEN acc ELSE list_append(acc, h) END, []::VARCHAR[]) AS kept FROM l),
-d AS (SELECT c.video_id, c.caption_id, list_filter(kept, lambda x: {_HAM.replace('substr(h,', 'substr(c.hash,')} <= 6)[1] AS leader FROM c JOIN k USING (video_id) WHERE c.hash IS NOT NULL),
-f AS (SELECT video_id, hash, min(caption_id) AS first_id FROM c WHERE hash IS NOT NULL GROUP BY ALL)
-SELECT c.video_id, c.caption_id, CASE WHEN f.first_id <> c.caption_id THEN f.first_id END AS duplicate_of FROM c LEFT JOIN d USING (video_id, caption_id) LEFT JOIN f ON f.video_id = c.video_id AND f.hash = d.leader""",
+    "leader_dedup": f"WITH c AS (SELECT video_id, caption_id, CASE WHEN regexp_full_match(frame_hash, '[0-9a-f]{{64}}') THEN frame_hash END AS hash FROM captions), {_LEAD} SELECT video_id, caption_id, duplicate_of FROM z",
+    "quality_cascade": _CASC + " SELECT video_id, caption_id, verdict, duplicate_of FROM q",
+    "quality_cascade_stats": _CASC + " SELECT video_id, count(*) AS candidates, " + ", ".join(f"count(*) FILTER (verdict = '{x}') AS {x}" for x in ("usable", "unreadable", "blurry", "dark", "bright", "duplicate")) + " FROM q GROUP BY video_id",
     "exact_dup_hash": "SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "manifest_violations": r"""SELECT video_id, concat_ws(',', CASE WHEN NOT coalesce(regexp_full_match(video_id, '[A-Za-z0-9][A-Za-z0-9_.-]*') AND NOT contains(video_id, '..'), false) THEN 'video_id' END, CASE WHEN NOT coalesce(trim(split) <> '', false) THEN 'split' END, CASE WHEN NOT coalesce(trim(license_id) <> '', false) THEN 'license_id' END,
 CASE WHEN NOT coalesce(regexp_full_match(source_url, 'https://[^/@?#]+([/?#].*)?'), false) THEN 'source_url' END, CASE WHEN timestamp_unit IS DISTINCT FROM 'seconds' THEN 'timestamp_unit' END, CASE WHEN timestamp_origin IS DISTINCT FROM 'source_video_start' THEN 'timestamp_origin' END, CASE WHEN NOT coalesce(isfinite(source_duration_seconds), false) THEN 'source_duration_seconds' END,

@@ -73,6 +73,10 @@ def video_summary(spark, folder):
     return M.video_summaries(table(spark, folder, "memory_rows")).withColumn("topics", F.array_join("topics", "; "))
 
 
+def video_rollup(spark, folder):
+    return M.video_rollups(table(spark, folder, "memory_rows"))
+
+
 def acceptance_split(spark, folder):
     rows = table(spark, folder, "memory_rows").select("memory_id", "verification_status", "accepted_as_fact", *[F.concat(F.coalesce(F.col(c), F.array().cast("array<string>")), F.coalesce(F.col(f"unvalidated_{c}"), F.array().cast("array<string>"))).alias(c) for c in M.SPLIT])
     return M.split_by_acceptance(rows).select("memory_id", "accepted_as_fact", *M.SPLIT, *[f"unvalidated_{c}" for c in M.SPLIT])
@@ -135,7 +139,7 @@ def evidence_status(spark, folder):
     return one.select("cards", "accepted_cards", F.when(F.col("cards") > 0, "ok").otherwise("no_matches").alias("status"), F.when(F.col("accepted_cards") > 0, "supported_by_accepted_evidence").otherwise("insufficient_evidence").alias("answer_status"))
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, knn_topk_video, knn_topk_time, knn_memory, knn_batch, vector_batch_errors, topics_topk, topic_counts, accepted_decisions, accepted_tasks, video_summary, acceptance_split, searchable_texts, list_events, get_event, memory_videos, keyed_replace, anti_retained, resume_pending, latest_delivery, evidence_cards, evidence_status)}
+QUERIES = {f.__name__: f for f in (knn_topk, knn_topk_video, knn_topk_time, knn_memory, knn_batch, vector_batch_errors, topics_topk, topic_counts, accepted_decisions, accepted_tasks, video_summary, video_rollup, acceptance_split, searchable_texts, list_events, get_event, memory_videos, keyed_replace, anti_retained, resume_pending, latest_delivery, evidence_cards, evidence_status)}
 
 _Q = "[" + ", ".join(f"({x!r})::FLOAT" for x in QUERY) + "]"
 _D = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
@@ -159,6 +163,12 @@ WITH c AS (SELECT video_id, sum(CASE WHEN accepted_as_fact THEN coalesce(len(dec
   coalesce(left(string_agg(speech_text, ' ' ORDER BY memory_id) FILTER (speech_text <> ''), 2000), '') AS transcript_head FROM memory_rows GROUP BY video_id),
 t AS (SELECT video_id, string_agg(topic, '; ' ORDER BY encode(topic)) AS topics FROM (SELECT DISTINCT video_id, unnest(topics) AS topic FROM memory_rows WHERE accepted_as_fact) GROUP BY video_id)
 SELECT video_id, coalesce(topics, '') AS topics, decisions, tasks, unvalidated_blocks, blocks, transcript_head FROM c LEFT JOIN t USING (video_id)""",
+    "video_rollup": """
+WITH l AS (SELECT memory_id, video_id, 'd' AS what, unnest(range(len(decisions))) AS p, unnest(decisions) AS x FROM memory_rows WHERE accepted_as_fact UNION ALL SELECT memory_id, video_id, 't', unnest(range(len(tasks))), unnest(tasks) FROM memory_rows WHERE accepted_as_fact),
+g AS (SELECT video_id, list(x ORDER BY memory_id, p) FILTER (what = 'd') AS d, list(x ORDER BY memory_id, p) FILTER (what = 't') AS t FROM l GROUP BY video_id),
+o AS (SELECT video_id, list(topic ORDER BY encode(topic)) AS topics FROM (SELECT DISTINCT video_id, unnest(topics) AS topic FROM memory_rows WHERE accepted_as_fact) GROUP BY video_id),
+c AS (SELECT video_id, count(*) FILTER (accepted_as_fact IS DISTINCT FROM true) AS unvalidated_blocks, count(*) AS blocks, coalesce(string_agg(speech_text, ' ' ORDER BY memory_id) FILTER (speech_text <> ''), '') AS transcript FROM memory_rows GROUP BY video_id)
+SELECT video_id, coalesce(topics, []) AS topics, coalesce(d, []) AS decisions, coalesce(t, []) AS tasks, unvalidated_blocks, blocks, transcript FROM c LEFT JOIN o USING (video_id) LEFT JOIN g USING (video_id)""",
     "acceptance_split": f"WITH x AS (SELECT memory_id, {_OK} AS ok, "
     + ", ".join(f"list_concat(coalesce({c}, []), coalesce(unvalidated_{c}, [])) AS {c[:2]}_" for c in M.SPLIT)
     + " FROM memory_rows) SELECT memory_id, ok AS accepted_as_fact, "

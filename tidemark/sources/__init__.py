@@ -114,6 +114,23 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "content").join(order, "path")
 
 
+def decoded_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, height, width, channels, pixels) of JPEG, PNG, BMP and GIF images by Spark's image source; pixels are rows of blue, green,
+    red (and alpha). What cannot be decoded has null sizes and pixels."""
+    i = spark.read.format("image").load(folder).select("image.*")
+    ok = F.col("height") > 0
+    return i.select(F.col("origin").alias("path"), *[F.when(ok, F.col(c)).alias(n) for c, n in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "pixels"))])
+
+
+def legacy_memory(spark: SparkSession, path: str) -> DataFrame:
+    """Memory rows of a metadata document from before the acceptance flags: no flag, so nothing in them is accepted. Their single
+    confidence is model_confidence_unvalidated; memory_id is their place in the document."""
+    schema = "video_id string, block_id string, time_range array<double>, speech_text string, visual_caption string, topics array<string>, decisions array<string>, tasks array<string>, intent string, summary string, confidence double, searchable_text string"
+    fields = ",".join(c.replace(" ", ":") for c in schema.split(", "))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{fields}>>", {"mode": "FAILFAST"})).alias("memory_id", "r"))
+    return rows.select(F.col("memory_id").cast("bigint").alias("memory_id"), "r.*").withColumnRenamed("confidence", "model_confidence_unvalidated").withColumns({"accepted_as_fact": F.lit(None).cast("boolean"), "verification_status": F.lit(None).cast("string")})
+
+
 def file_hashes(spark: SparkSession, folder: str, block: int = 1 << 20) -> DataFrame:
     """(path, length, sha256) of files. Only paths are shuffled; each task reads its files in blocks, so their size does not matter. Empty
     files are left out, as Spark's reader lists none."""

@@ -146,11 +146,11 @@ class VideoStore:
 
 
 def existing(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at a path, None if there is none; any other failure is an error."""
+    """The table at a path, None if there is none, or not one file in it; any other failure is an error."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 

@@ -21,7 +21,8 @@ def merge_rows(rows: DataFrame, path: str, keys: list[str], ordinal: str) -> Non
     there = existing(rows.sparkSession, path)
     both = rows
     if there is not None:
-        old = there.withColumn("video_id", F.col("video_id").cast("string")).join(rows.select("video_id").distinct(), "video_id", "left_semi")
+        touched = rows.select(F.col("video_id").alias("__v")).distinct()
+        old = there.withColumn("video_id", F.col("video_id").cast("string")).join(touched, F.col("video_id").eqNullSafe(F.col("__v")), "left_semi")
         both = old.unionByName(rows, allowMissingColumns=True)
     merged = latest_deliveries(both, ["video_id", *keys], ordinal)
     overwrite_videos(cut(merged) if there is not None else merged, path)  # cut: its source is about to be written over
