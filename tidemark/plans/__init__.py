@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from tidemark.plans import align, checks, memory, p4, policy, surface, windows
+    from tidemark.plans import align, checks, files, memory, p4, policy, surface, windows
 
-    return (p4, memory, align, windows, checks, policy, surface)
+    return (p4, memory, align, windows, checks, policy, files, surface)
 
 
 def core_queries() -> dict:

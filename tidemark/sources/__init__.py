@@ -86,13 +86,13 @@ def frame_map(documents: DataFrame, json_col: str, prefix: str = "frames_fixed/"
 
 
 def reference_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """A CSV with header, byte-order mark allowed; missing or repeated columns and ragged rows are errors. Adds source_path."""
+    """A CSV with header, byte-order mark allowed, a quote in a text doubled; missing or repeated columns and ragged rows are errors. Adds source_path."""
     head = spark.read.text(path).limit(1).collect()
     names = next(csv.reader([head[0][0].lstrip("﻿").rstrip("\r")])) if head else []
     if len(set(names)) != len(names) or not set(required) <= set(names):
         raise ValueError(f"a reference needs unique columns, with {sorted(required)}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", multiLine=True, enforceSchema=False).withColumn("source_path", F.input_file_name())
+    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", multiLine=True, enforceSchema=False, quote='"', escape='"').withColumn("source_path", F.input_file_name())
 
 
 def manifest_records(spark: SparkSession, path: str) -> DataFrame:
