@@ -134,3 +134,20 @@ def test_anchors_against_the_plain_rule(spark):
     F_ = spark.createDataFrame(frames, "video_id string, timestamp_sec double, caption_id long")
     S = spark.createDataFrame(segments, "video_id string, start_sec double, end_sec double")
     assert {(x.video_id, x.caption_id) for x in visual_anchors(F_, S, 2.0).collect()} == want
+
+
+def test_near_hashes_share_a_pair_of_bands():
+    import random
+
+    from tidemark.operators.quality import _BANDS, _PAIRS, SAME_BITS
+
+    r = random.Random(3)
+    assert sum(n for _, n in _BANDS) == 64 and len(_PAIRS) == 12
+    cut = lambda h, i: h[_BANDS[i][0] - 1 : _BANDS[i][0] - 1 + _BANDS[i][1]]
+    for _ in range(2000):
+        x = r.getrandbits(256)
+        y = x
+        for b in r.sample(range(256), SAME_BITS):
+            y ^= 1 << b
+        g, h = f"{x:064x}", f"{y:064x}"
+        assert any(cut(g, a) == cut(h, a) and cut(g, b) == cut(h, b) for a, b in _PAIRS)

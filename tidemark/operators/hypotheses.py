@@ -31,16 +31,16 @@ def _evidence(event: dict, ids: list, pts: list):
         return event["evidence"], None
     at = event.get("evidence_frame_indices")
     if not isinstance(at, list) or len(at) < 2:
-        return None, "temporal event evidence needs at least two frame references or frame indices"
+        return None, "fewer than two frames as evidence"
     out = []
     for x in at:
         if isinstance(x, bool) or not (isinstance(x, int) or isinstance(x, str) and re.fullmatch(r"0|[1-9][0-9]*", x)):
-            return None, "evidence_frame_indices must use nonnegative integer or digit-string serializations"
+            return None, "a frame position is no whole number"
         if not 0 <= int(x) < len(ids):
-            return None, "evidence_frame_indices must reference supplied presentation-frame positions"
+            return None, "a frame position is outside the window"
         out.append(int(x))
     if len(set(out)) < len(out):
-        return None, "evidence_frame_indices must not repeat a source frame for a temporal event"
+        return None, "a frame position is given twice"
     return [{"frame_id": ids[i], "source_pts_sec": pts[i], "frame_index": i} for i in out], None
 
 
@@ -48,26 +48,26 @@ def check_event(event, ids: list, pts: list, chronological: bool) -> tuple[list[
     """All rules that one event breaks, and its evidence."""
     if not isinstance(event, dict):
         return ["event must be an object"], None
-    wrong = [f"{k} must be nonempty text" for k in ("event_id", "verb", "object", "actor", "direction") if not isinstance(event.get(k), str) or not event[k].strip()]
+    wrong = [f"{k} has no text" for k in ("event_id", "verb", "object", "actor", "direction") if not isinstance(event.get(k), str) or not event[k].strip()]
     listed = lambda v, of: isinstance(v, str) and v in of
-    wrong += [] if listed(event.get("actor"), ACTORS) else ["actor must be wearer, other_person, or unknown"]
-    wrong += [] if listed(event.get("direction"), DIRECTIONS) else ["direction must be a declared controlled value"]
-    wrong += [] if isinstance(event.get("uncertain"), bool) else ["uncertain must be boolean"]
+    wrong += [] if listed(event.get("actor"), ACTORS) else ["actor is not in its vocabulary"]
+    wrong += [] if listed(event.get("direction"), DIRECTIONS) else ["direction is not in its vocabulary"]
+    wrong += [] if isinstance(event.get("uncertain"), bool) else ["uncertain is neither true nor false"]
     proof, error = _evidence(event, ids, pts)
     if error:
         return [*wrong, error], None
     if not isinstance(proof, list) or not proof:
-        return [*wrong, "evidence needs at least one frame reference"], None
+        return [*wrong, "no evidence is given"], None
     window, seen, before = dict(zip(ids, pts)), set(), None
     for x in proof:
         if not isinstance(x, dict) or not isinstance(x.get("frame_id"), str) or not _finite(x.get("source_pts_sec")):
-            wrong.append("each evidence reference needs frame_id and finite source_pts_sec")
+            wrong.append("an evidence reference lacks a frame or a finite time")
             continue
         f, t = x["frame_id"], float(x["source_pts_sec"])
         if f in seen or f not in window or not math.isclose(window[f], t, abs_tol=1e-6):
-            wrong.append("evidence references must exactly match distinct source-window frame IDs and PTS")
+            wrong.append("an evidence reference is no frame of the window, or used again")
         if chronological and before is not None and t <= before:
-            wrong.append("event evidence must be in chronological source PTS order")
+            wrong.append("evidence is not in order of time")
         seen.add(f)
         before = t
     return wrong, proof
@@ -80,13 +80,13 @@ def _ingest(text: str, ids, pts, order: str, assign: bool) -> list[dict]:
     ids, pts = list(ids if ids is not None else []), [float(t) for t in (pts if pts is not None else [])]
     bad = lambda p, raw, errors: {"position": p, "raw": raw if isinstance(raw, str) else json.dumps(raw), "errors": errors}
     if len(ids) != len(pts) or len(ids) < 2 or order not in ORDERS:
-        return [bad(0, text, ["source window needs equally sized frame IDs and PTS and a declared order"])]
+        return [bad(0, text, ["the frames, times or order of the window do not fit"])]
     try:
         answer = json.loads(text)
     except (ValueError, TypeError, RecursionError):
         return [bad(0, text or "", ["invalid JSON"])]
     if not isinstance(answer, dict) or not isinstance(answer.get("events"), list):
-        return [bad(0, text, ["top-level object requires an events list"])]
+        return [bad(0, text, ["no list of events"])]
     out, taken = [], set()
     for p, event in enumerate(answer["events"], 1):
         if assign and isinstance(event, dict) and "event_id" not in event:

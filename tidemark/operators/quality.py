@@ -28,16 +28,18 @@ def verdict_counts(rows: DataFrame, key: str, verdict_col: str = "verdict") -> D
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("candidates"), F.sum(F.when(F.col(verdict_col).isNull() | (F.col(verdict_col) == "usable"), 1).otherwise(0)).alias("usable"), *[of(v) for v in ("unreadable", "blurry", "dark", "bright", "duplicate")])
 
 
-#: Bands of a hash of 64 hexadecimal digits: at most SAME_BITS differing bits leave one of SAME_BITS + 1 bands as it is.
-_BANDS = [(1 + round(i * 64 / (SAME_BITS + 1)), round((i + 1) * 64 / (SAME_BITS + 1)) - round(i * 64 / (SAME_BITS + 1))) for i in range(SAME_BITS + 1)]
+#: A hash of 64 hexadecimal digits in ten bands, in three groups. At most SAME_BITS differing bits leave four bands as they are, and of
+#: four bands two are in one group: hashes within the distance share one of the twelve pairs of bands inside groups, some 51 bits.
+_BANDS = [(1 + round(i * 64 / 10), round((i + 1) * 64 / 10) - round(i * 64 / 10)) for i in range(SAME_BITS + 4)]
+_PAIRS = [(a, b) for group in ((0, 1, 2, 3), (4, 5, 6), (7, 8, 9)) for a in group for b in group if a < b]
 
 
 def leader_dedup(rows: DataFrame, key: str, order: str, hash_col: str, bits: int = SAME_BITS) -> DataFrame:
     """(key, order, hash, duplicate_of): in the order of `order` (unique whole numbers) a row whose hash is within `bits` of an earlier
     kept one of its key is a duplicate of the first such; others are kept (duplicate_of null). Rows without a valid hash are kept.
 
-    Equal hashes share their fate, so only distinct hashes are compared. Near pairs come from bands: hashes within the distance share
-    at least one of `SAME_BITS + 1` bands, a band holding some 36 bits. A hash is decided when its earlier near ones are: kept if
+    Equal hashes share their fate, so only distinct hashes are compared. Near pairs come from pairs of bands (see
+    _PAIRS), of which hashes within the distance share at least one. A hash is decided when its earlier near ones are: kept if
     none of these is kept. Rounds go on until all are decided; they are as many as the longest chain of near hashes.
     """
     if bits > SAME_BITS:
@@ -45,7 +47,7 @@ def leader_dedup(rows: DataFrame, key: str, order: str, hash_col: str, bits: int
     valid = F.coalesce(F.col(hash_col).rlike(r"^[0-9a-f]{64}\z"), F.lit(False))
     lean = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.when(valid, F.col(hash_col)).alias("h"))
     distinct = cut(lean.where("h IS NOT NULL").groupBy("k", "h").agg(F.min("o").alias("o")))
-    banded = distinct.select("k", "h", "o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("h", a, n).alias("v")) for i, (a, n) in enumerate(_BANDS)])).alias("b")).select("k", "h", "o", "b.*")
+    banded = distinct.select("k", "h", "o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.concat(F.substring("h", *_BANDS[a]), F.substring("h", *_BANDS[b])).alias("v")) for i, (a, b) in enumerate(_PAIRS)])).alias("b")).select("k", "h", "o", "b.*")
     a, b = banded.alias("a"), banded.alias("b")
     near = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.o") < F.col("b.o")))
     edges = cut(near.where(hamming_hex(F.col("a.h"), F.col("b.h")) <= bits).select(F.col("a.o").alias("earlier"), F.col("b.o").alias("later")).distinct())

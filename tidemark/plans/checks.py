@@ -189,7 +189,7 @@ c AS (SELECT video_id, caption_id, CASE WHEN regexp_full_match(frame_hash, '[0-9
 q AS (SELECT v.video_id, v.caption_id, coalesce(v0, CASE WHEN duplicate_of IS NULL THEN 'usable' ELSE 'duplicate' END) AS verdict, duplicate_of FROM v LEFT JOIN z USING (video_id, caption_id))"""
 
 _DEAD = """WITH r AS (SELECT memory_id AS answer_id, memory_id % 8 AS form FROM memory_rows WHERE len(time_range) = 2 AND isfinite(time_range[1]) AND isfinite(time_range[2]) AND time_range[2] >= time_range[1]),
-e AS (SELECT answer_id, CASE form WHEN 7 THEN 0 ELSE 1 END AS position, CASE form WHEN 1 THEN 'evidence_frame_indices must reference supplied presentation-frame positions' WHEN 2 THEN 'evidence_frame_indices must use nonnegative integer or digit-string serializations' WHEN 3 THEN 'evidence_frame_indices must not repeat a source frame for a temporal event' WHEN 6 THEN 'event must be an object' WHEN 7 THEN 'invalid JSON' END AS error FROM r WHERE form <> 5)"""
+e AS (SELECT answer_id, CASE form WHEN 7 THEN 0 ELSE 1 END AS position, CASE form WHEN 1 THEN 'a frame position is outside the window' WHEN 2 THEN 'a frame position is no whole number' WHEN 3 THEN 'a frame position is given twice' WHEN 6 THEN 'event must be an object' WHEN 7 THEN 'invalid JSON' END AS error FROM r WHERE form <> 5)"""
 
 SQL = {
     "quality_verdict": _V + " SELECT event_id, verdict FROM q",
