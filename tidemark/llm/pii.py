@@ -124,6 +124,19 @@ def features(space: str, word: str, case: str, common: dict[str, int], given: bo
     return out
 
 
+class _Numbered(dict):
+    """Numbers keys as they are first asked for; `new` are those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 @dataclass
 class Tagger:
     """Weights per offset and feature; what a word adds to each offset is summed once per distinct word. A word is (space, word), or
@@ -148,17 +161,17 @@ class Tagger:
     def rows(self, keys: list[tuple]) -> np.ndarray:
         """The row of each word in `sums`, which grows by the words not met before."""
         if len(self.known) > REMEMBERED or self.sums is None:
-            self.known, self.sums = {}, np.zeros((0, 2 * REACH + 1, len(LABELS)), np.float32)
+            self.known, self.sums = _Numbered(), np.zeros((0, 2 * REACH + 1, len(LABELS)), np.float32)
         known = self.known
-        new = [k for k in dict.fromkeys(keys) if k not in known]
+        found = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+        new, known.new = known.new, []
         if new:
             more = np.zeros((len(new), 2 * REACH + 1, len(LABELS)), np.float32)
             for i, k in enumerate(new):
-                known[k] = len(known)
                 fs = [self.index[f] for f in self.described(k) if f in self.index]
                 more[i] = self.weights[:, fs].sum(1)
             self.sums = np.concatenate([self.sums, more])
-        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+        return found
 
     def emissions(self, rows: np.ndarray) -> np.ndarray:
         """Scores of each position; `rows` has REACH pads at both ends of every text."""
