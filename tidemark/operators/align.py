@@ -13,6 +13,7 @@ from tidemark.functions.columns import HYPOTHESIS, numbered_id, strip, within
 from tidemark.operators.intervals import finite
 from tidemark.operators.numbering import islands, numbered
 from tidemark.operators.ordered import CHUNK, chunked
+from tidemark.session import shuffle_partitions
 
 
 def usable_frames(captions: DataFrame) -> DataFrame:
@@ -49,7 +50,9 @@ def visual_anchors(frames: DataFrame, segments: DataFrame, tolerance: float) ->
     covered = range_pairs(spans, points, tolerance).select("id").distinct()
     silent = points.join(covered, "id", "left_anti").groupBy("k", "t").agg(F.min("id").alias("id"))  # of equal times only the first can stay
     cut_up = islands(silent, "k", "t", "id", tolerance + 1e-6, inclusive=False)
-    kept = cut_up.groupBy("k", "island").applyInPandas(lambda pdf: _apart(pdf, tolerance), _point_type(frames))
+    # whole stretches, many to a group
+    part = F.pmod(F.xxhash64("k", "island"), F.lit(8 * shuffle_partitions(frames.sparkSession)))
+    kept = cut_up.select("k", "t", "id", part.alias("part")).groupBy("part").applyInPandas(lambda pdf: _apart(pdf, tolerance), _point_type(frames))
     return kept.select(F.col("k").alias("video_id"), F.col("id").alias("caption_id"), F.col("t").alias("timestamp_sec"))
 
 
@@ -59,17 +62,17 @@ def _point_type(frames: DataFrame) -> str:
 
 
 def _apart(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    """In order of id the points with no earlier kept one within the closed tolerance. A cell of the tolerance's width holds at most two
-    kept points, so each point looks at three cells."""
+    """In order of id the points of each key with no earlier kept one within the closed tolerance. A cell of the tolerance's width holds
+    at most two kept points, so each point looks at three cells."""
     pdf = pdf.sort_values("id", kind="stable")
-    cells: dict[int, list[float]] = {}
+    cells: dict[tuple, list[float]] = {}
     stays = []
-    for t in pdf["t"]:
+    for k, t in zip(pdf["k"].factorize(use_na_sentinel=False)[0].tolist(), pdf["t"].tolist()):
         c = math.floor(t / tolerance) if tolerance > 0 else t
-        near = (a for i in ((c - 1, c, c + 1) if tolerance > 0 else (c,)) for a in cells.get(i, ()))
+        near = (a for i in ((c - 1, c, c + 1) if tolerance > 0 else (c,)) for a in cells.get((k, i), ()))
         free = not any(a - tolerance <= t <= a + tolerance for a in near)
         if free:
-            cells.setdefault(c, []).append(t)
+            cells.setdefault((k, c), []).append(t)
         stays.append(free)
     return pdf.loc[stays, ["k", "t", "id"]]
 
