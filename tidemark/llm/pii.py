@@ -520,7 +520,8 @@ def trained_tagger(spark: SparkSession, vocabulary: str = VOCABULARY) -> Tagger:
     name = hashlib.sha256((code + json.dumps(sorted(common.items()))).encode()).hexdigest()[:24]
     if name in _TRAINED:
         return _TRAINED[name]
-    home = f"{shared_folder(spark)}/tidemark-tagger-{name}"
+    kept = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or shared_folder(spark)  # the former outlives the session
+    home = f"{kept}/tidemark-tagger-{name}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(home).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(hadoop(f"{home}/_SUCCESS")):
@@ -529,7 +530,7 @@ def trained_tagger(spark: SparkSession, vocabulary: str = VOCABULARY) -> Tagger:
         tagger = train(labelled_table(slot_words(common)), common)
         draft = f"{home}.{uuid.uuid4().hex}"
         spark.createDataFrame([(tagger.packed(),)], "weights binary").coalesce(1).write.parquet(draft)
-        if not fs.rename(hadoop(draft), hadoop(home)):  # another session was first
+        if fs.exists(hadoop(home)) or not fs.rename(hadoop(draft), hadoop(home)):  # another session was first
             fs.delete(hadoop(draft), True)
     _TRAINED[name] = tagger
     return tagger
