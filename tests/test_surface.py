@@ -1,6 +1,7 @@
 """Sources, sinks, adapters, pipeline, service, streams, configuration."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +157,25 @@ def test_a_video_in_two_batches_keeps_all_its_rows(spark, tmp_path):
     assert rows() == want
 
 
+def test_a_merged_table_has_files_by_bucket_and_not_by_video(spark, tmp_path):
+    out, old = str(tmp_path / "out"), str(tmp_path / "old")
+    df = lambda xs: spark.createDataFrame(xs, "video_id string, block string, seq long")
+    first = df([(f"v{i}", b, 1) for i in range(600) for b in "xy"] + [(None, "x", 1)]).repartition(8)
+    merge_rows(first, out, ["block"], "seq")
+    files = lambda at: {f.relative_to(at) for f in Path(at).rglob("*.parquet")}
+    before = files(out)
+    assert len(before) < 300
+    later = df([("v7", "x", 2), ("v7", "z", 2), ("v8", "y", 0), (None, "x", 3)])
+    merge_rows(later, out, ["block"], "seq")
+    assert len(before & files(out)) >= len(before) - 12  # buckets of other videos are not written again
+    want = {(f"v{i}", b): 1 for i in range(600) for b in "xy"} | {("v7", "x"): 2, ("v7", "z"): 2, (None, "x"): 3}
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == len(want) and {(r.video_id, r.block): r.seq for r in rows} == want
+    sinks.overwrite_videos(df([("a", "x", 1), ("b", "x", 1)]), old)  # a table by video keeps its layout
+    merge_rows(df([("a", "x", 2), ("c", "x", 1)]), old, ["block"], "seq")
+    assert sorted((r.video_id, r.seq) for r in spark.read.parquet(old).collect()) == [("a", 2), ("b", 1), ("c", 1)] and {p.name for p in Path(old).glob("video*")} == {"video_id=a", "video_id=b", "video_id=c"}
+
+
 def test_pending_writes_fail_on_a_broken_table(spark, tmp_path):
     t = tmp_path / "t" / "video_id=a"
     t.mkdir(parents=True)

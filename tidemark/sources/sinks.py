@@ -20,7 +20,12 @@ ARTIFACTS = {"processed_meta.json", "frame_timestamps.json", "frames_manifest.js
 
 def overwrite_videos(rows: DataFrame, path: str) -> None:
     """Write a stage's rows, replacing the partitions of the videos they hold and no others."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(path)
+    overwrite_partitions(rows, path, "video_id")
+
+
+def overwrite_partitions(rows: DataFrame, path: str, column: str) -> None:
+    """Write rows partitioned by a column, replacing the partitions they hold and no others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
 def write_new(rows: DataFrame, path: str) -> None:

@@ -12,20 +12,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.memory import latest_deliveries
 from tidemark.session import cut, scratch
-from tidemark.sources.sinks import existing, overwrite_videos
+from tidemark.sources.sinks import existing, overwrite_partitions, overwrite_videos
+
+
+#: Partitions of a merged table: each holds the videos of one hash. A constant, as a video must be found again by a later batch.
+BUCKETS = 128
 
 
 def merge_rows(rows: DataFrame, path: str, keys: list[str], ordinal: str) -> None:
-    """Merge rows into a table partitioned by video_id: of rows with the same video_id and `keys` that with the largest `ordinal` stays,
-    whether it is new or was there. Only partitions of the videos in `rows` are read and written; the same rows again change nothing."""
+    """Merge rows into a table partitioned by video_bucket, a hash of video_id: of rows with the same video_id and `keys` that with the
+    largest `ordinal` stays, whether it is new or was there. Only buckets of the videos in `rows` are read and written, so the files are
+    bounded by the buckets and not by the videos; the same rows again change nothing. A table that is there by video_id stays so."""
     there = existing(rows.sparkSession, path)
-    both = rows
-    if there is not None:
+    if there is not None and "video_bucket" not in there.columns:
         touched = rows.select(F.col("video_id").alias("__v")).distinct()
         old = there.withColumn("video_id", F.col("video_id").cast("string")).join(touched, F.col("video_id").eqNullSafe(F.col("__v")), "left_semi")
-        both = old.unionByName(rows, allowMissingColumns=True)
+        return overwrite_videos(cut(latest_deliveries(old.unionByName(rows, allowMissingColumns=True), ["video_id", *keys], ordinal)), path)
+    both = rows = rows.withColumn("video_bucket", F.pmod(F.xxhash64(F.col("video_id").cast("string")), F.lit(BUCKETS)).cast("int"))
+    if there is not None:
+        touched = [r[0] for r in rows.select("video_bucket").distinct().collect()]  # at most BUCKETS
+        both = there.where(F.col("video_bucket").isin(touched)).unionByName(rows, allowMissingColumns=True)
     merged = latest_deliveries(both, ["video_id", *keys], ordinal)
-    overwrite_videos(cut(merged) if there is not None else merged, path)  # cut: its source is about to be written over
+    merged = cut(merged) if there is not None else merged  # its source is about to be written over
+    # a bucket's rows meet before they are written, or every task would write a file to each; a large bucket is split again
+    overwrite_partitions(merged.hint("rebalance", "video_bucket"), path, "video_bucket")
 
 
 def replace_stream(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, keys: list[str] | None = None, ordinal: str | None = None):
