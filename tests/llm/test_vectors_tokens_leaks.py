@@ -99,6 +99,45 @@ def test_calibration_rests_on_real_pairs():
     assert hit >= 0.98
 
 
+def test_a_radius_search_goes_to_few_leaves():
+    """Leaves are ranked over the whole tree and both vectors of a pair go to theirs; one branch after the other took far more."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(6_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = rng.normal(size=(600, 64)).astype(np.float32)
+    x[-600:] = x[:600] + step * np.float32(np.sqrt(0.14)) / np.linalg.norm(step, axis=1, keepdims=True)
+    t = V.fit_tree(x, 8)
+    leaves = V.Leaves(t)
+    d = V._squared(x[:300], leaves.centroids[: leaves.count, :-1])
+    assert leaves.wide and (np.sort(np.take_along_axis(d, leaves.best(x[:300], 5), 1), 1) - np.sort(d, 1)[:, :5]).max() < 1e-5
+    visits = V._calibrated(leaves, x, 0.15, 10, 0.99)
+    a, b = leaves.best(x[:600], visits), leaves.best(x[-600:], visits)
+    assert (a[:, :, None] == b[:, None]).any((1, 2)).mean() >= 0.98
+    assert visits * 4 <= V.calibrate(t, x, 10, 0.15, 0.99)
+
+
+def test_pairs_within_a_radius_beside_brute_force(monkeypatch):
+    """Blocks, their parts, crowds, copies and very long vectors."""
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[100:400] = 1 + rng.normal(size=(300, 8)) * 0.02
+    x[400:420] = x[5]
+    x[420:424] *= np.float32(1e5)
+    x[424], x[425], x[426] = x[420], x[420], np.float32(1e30)
+    x[427] = x[426]
+    ids = rng.permutation(5_000)[:900]
+    want = brute(ids.tolist(), x, 5, 0.15)
+    for rows, columns, parts in ((V.ROWS, V.COLUMNS, 1), (64, 128, 3)):
+        monkeypatch.setattr(V, "ROWS", rows)
+        monkeypatch.setattr(V, "COLUMNS", columns)
+        got = {}
+        found = [V._search_leaves(V.pa.table({"id": ids, "v": [v.tobytes() for v in x], "mask": [3] * 900, "part": [p] * 900, "parts": [parts] * 900}), 5, 0.15) for p in range(parts)]
+        one, other, distance = V._nearest(*(np.concatenate([t[c].to_numpy() for t in found]) for c in ("id", "other", "distance")), 5)
+        for i, j in zip(one, other):
+            got.setdefault(int(i), []).append(int(j))
+        assert got == {i: v for i, v in want.items() if v}
+
+
 def test_groups_hold_each_leaf_once():
     t = V.fit_tree(np.random.default_rng(6).normal(size=(2000, 4)).astype(np.float32), 20)
     group, place = t.groups()

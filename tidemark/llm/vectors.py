@@ -25,6 +25,12 @@ REAL_PAIRS = 500
 GROUP_LEAVES = 16
 #: Entries that one task of the leaf search takes at once.
 BLOCK_ROWS = 65_536
+#: Leaves that are compared as one when the nearest are looked for.
+FOLD = 16
+#: Rows and columns of one matrix of distances (2 MB, within a core's cache).
+ROWS, COLUMNS = 256, 2_048
+#: Vectors with many copies that travel by broadcast (some 10 MB).
+BROADCAST_ROWS = 200_000
 
 
 @dataclass
@@ -62,8 +68,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     for _ in range(rounds):
         at = _squared(x, c).argmin(1)
         n = np.bincount(at, minlength=k)
-        sums = np.zeros_like(c, dtype=np.float64)
-        np.add.at(sums, at, x)
+        sums = (at == np.arange(k)[:, None]).astype(np.float32) @ x
         full = n > 0
         c[full] = (sums[full] / n[full, None]).astype(np.float32)
     at = _squared(x, c).argmin(1)
@@ -262,6 +267,195 @@ def _search_group(pdf: pd.DataFrame, k: int, radius: float | None) -> pd.DataFra
     return pd.concat(out) if out else pd.DataFrame({"id": np.empty(0, np.int64), "other": np.empty(0, np.int64), "distance": np.empty(0)})
 
 
+class Leaves:
+    """The leaves of a tree in its order, ranked for a vector by the distance of their centroids: whole ranks, where best_bins goes down
+    one branch before it looks at the next. `size` leaves in a row are a group."""
+
+    def __init__(self, tree: Tree, size: int = GROUP_LEAVES):
+        group, place = tree.groups()
+        leaf = np.flatnonzero([not len(c) for c in tree.children])
+        c = tree.centroids[leaf[np.argsort((group * GROUP_LEAVES + place)[leaf])]]
+        self.count, self.size, self.visits, self.parts = len(c), size, 1, np.ones(0, np.int64)
+        self.wide = -(-len(c) // FOLD) if len(c) > 16 * FOLD else 0
+        full = FOLD * self.wide or len(c)
+        self.centroids = np.zeros((full, c.shape[1] + 1), np.float32)
+        self.centroids[: len(c), :-1] = c
+        self.centroids[: len(c), -1] = -(c * c).sum(1) / 2
+        self.centroids[len(c) :, -1] = -np.inf
+
+    def best(self, x: np.ndarray, visits: int) -> np.ndarray:
+        """The `visits` nearest leaves of each row of x, nearest first."""
+        visits = min(visits, self.count)
+        out = np.empty((len(x), visits), np.int64)
+        for a in range(0, len(x), 256):
+            near = np.column_stack([x[a : a + 256], np.ones(len(x[a : a + 256]), np.float32)]) @ self.centroids.T  # half of |x|^2 less the squared distance
+            at = np.arange(len(near))[:, None]
+            if self.wide and visits < self.wide:  # the nearest leaves are in the columns with the nearest
+                folded = near.reshape(len(near), FOLD, self.wide).max(1)
+                some = np.argpartition(folded, self.wide - visits, axis=1)[:, self.wide - visits :]
+                some = (some[:, :, None] + self.wide * np.arange(FOLD)).reshape(len(near), -1)
+            else:
+                some = np.broadcast_to(np.arange(self.count), (len(near), self.count))
+            top = np.argsort(-near[at, some], axis=1, kind="stable")[:, :visits]
+            out[a : a + 256] = some[at, top]
+        return out
+
+
+def _within(x: np.ndarray, radius: float, k: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, squared distance), i < j, of the pairs of rows within the radius; in a crowd only pairs that can be among the k nearest of
+    one of the two. Of the blocks of rows, every one of `parts` takes its own."""
+    norm = (x.astype(np.float64) ** 2).sum(1)
+    plain = norm < 1e6  # the others are few or none: their products would be too coarse
+    half = (-np.minimum(norm, 1e30) * (1 - 2e-5) / 2).astype(np.float32)  # a margin in proportion to the norms covers rounding; exact distances decide
+    one = np.ones_like(half)
+    a, b, least = np.column_stack([x, half, one]), np.column_stack([x, one, half]), np.float32(-(radius * 1.001 + 1e-4) / 2)
+    a[~plain], b[~plain] = 0, 0
+    a[~plain, -2] = b[~plain, -1] = -np.inf
+    a[~plain, -1] = b[~plain, -2] = 1
+    pairs = []
+    for n, s in enumerate(range(0, len(x), ROWS)):
+        if n % parts != part:
+            continue
+        for t in range(s, len(x), COLUMNS):
+            near = a[s : s + ROWS] @ b[t : t + COLUMNS].T
+            enough = near > least
+            if not enough.any():
+                continue
+            if t < s + ROWS:  # no row with itself, nor a pair twice
+                enough &= np.arange(t, t + near.shape[1]) > np.arange(s, s + len(near))[:, None]
+            if min(near.shape) > k and enough.sum() > 8 * k * len(near):
+                near = np.where(enough, near, -np.inf)
+                margin = 0.002 * radius + 1e-4 + 4e-5 * norm[plain].max()
+                row, column = (np.partition(near, near.shape[d] - k, axis=d).take([near.shape[d] - k], axis=d) - margin for d in (1, 0))
+                enough &= (near >= row) | (near >= column)
+            i, j = np.nonzero(enough)
+            i, j = i + s, j + t
+            exact = np.concatenate([_exact(x[i[c : c + PAIRS]], x[j[c : c + PAIRS]]) for c in range(0, max(1, len(i)), PAIRS)])
+            ok = exact <= radius
+            pairs.append((i[ok], j[ok], exact[ok]))
+    if part == 0:
+        for i in np.flatnonzero(~plain):
+            exact = _exact(x[i][None], x)
+            j = np.flatnonzero((exact <= radius) & (plain | (np.arange(len(x)) > i)))
+            pairs.append((np.minimum(i, j), np.maximum(i, j), exact[j]))
+    return tuple(np.concatenate(p) for p in zip(*pairs)) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _nearest(one: np.ndarray, other: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each `one` the k nearest `other`, equal distances by smaller id; a pair that comes again counts once."""
+    order = np.lexsort((other, distance, one))
+    one, other, distance = one[order], other[order], distance[order]
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (other[1:] != other[:-1])
+    one, other, distance = one[new], other[new], distance[new]
+    ok = np.arange(len(one)) - np.searchsorted(one, one) < k
+    return one[ok], other[ok], distance[ok]
+
+
+def _calibrated(leaves: Leaves, sample: np.ndarray, radius: float, k: int, recall: float, seed: int = 11) -> int:
+    """The fewest leaves of each of two vectors so that a share `recall` of pairs within the radius have one in common: of all such pairs
+    of the sample, and apart of vectors displaced by up to the radius in random directions, as real pairs may be few."""
+    if leaves.count <= 1:
+        return 1
+    rng = np.random.default_rng(seed)
+    base = sample[rng.choice(len(sample), 2_000)]
+    step = rng.normal(size=base.shape).astype(np.float32)
+    step *= (np.sqrt(radius * rng.random((len(base), 1))) / np.linalg.norm(step, axis=1, keepdims=True)).astype(np.float32)
+    i, j, _ = _within(sample, radius, k)
+    some = rng.permutation(len(i))[:20_000]
+    most = 1
+    for x, y in ((base, base + step), (sample[i[some]], sample[j[some]])):
+        visits, met = 4, not len(x)
+        while not met:  # all leaves have one in common
+            p, q = leaves.best(x, visits), leaves.best(y, visits)
+            first = np.full(len(x), visits + 1)
+            for n in range(p.shape[1]):
+                for m in range(p.shape[1]):
+                    first = np.where(p[:, n] == q[:, m], np.minimum(first, max(n, m) + 1), first)
+            met = (first <= visits).mean() >= recall
+            need, visits = first, visits * 2
+        if len(x):
+            most = max(most, int(np.sort(need)[int(np.ceil(recall * len(x))) - 1]))
+    return most
+
+
+def _search_leaves(t: pa.Table, k: int, radius: float) -> pa.Table:
+    """The k nearest of each row of a group among those with which it shares a leaf (bits of `mask`)."""
+    order = np.argsort(t["id"].to_numpy(), kind="stable")
+    ids, mask = t["id"].to_numpy()[order], t["mask"].to_numpy()[order]
+    x = _matrix(t["v"].to_pylist())[order]
+    part, parts = t["part"][0].as_py(), t["parts"][0].as_py()
+    one, other, distance = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for leaf in range(GROUP_LEAVES):
+        rows = np.flatnonzero(mask >> leaf & 1)
+        if len(rows) > 1:
+            i, j, d = _within(x[rows], radius, k, part, parts)
+            i, j = ids[rows[i]], ids[rows[j]]
+            one, other, distance = _nearest(np.concatenate([one, i, j]), np.concatenate([other, j, i]), np.concatenate([distance, d, d]), k)
+    return pa.table({"id": one, "other": other, "distance": distance})
+
+
+def _near_vectors(heads: DataFrame, total: int, k: int, radius: float, recall: float, dims: int, leaf_rows: int, sample_rows: int) -> DataFrame:
+    """(id, other, distance) of the k nearest within the radius; heads: id, v."""
+    spark = heads.sparkSession
+    share = min(1.0, 1.1 * sample_rows / max(1, total))
+    sample = heads.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(sample_rows).toPandas()
+    x = _matrix(list(sample["v"])) if len(sample) else np.zeros((0, dims), np.float32)
+    tree = fit_tree(x, max(8, int(leaf_rows * len(x) / max(1, total)))) if total > 4 * leaf_rows else Tree(np.zeros((1, dims), np.float32), [np.empty(0, np.int64)])
+    leaves = Leaves(tree)
+    leaves.visits = _calibrated(leaves, x, radius, k, recall)
+    leaves.size = int(np.clip(BLOCK_ROWS // 2 * leaves.count // max(1, total * leaves.visits), 1, GROUP_LEAVES))
+    groups = leaves.best(x, leaves.visits) // leaves.size if len(x) else np.zeros((0, 1), np.int64)
+    first = np.ones(groups.shape, bool)
+    for n in range(1, groups.shape[1]):
+        first[:, n] = (groups[:, :n] != groups[:, n : n + 1]).all(1)
+    crowd = np.bincount(groups[first], minlength=-(-leaves.count // leaves.size)) * (total / max(1, len(x)))
+    leaves.parts = np.maximum(1, np.ceil(crowd / BLOCK_ROWS)).astype(np.int64)  # by the sample: a crowded group is searched by several tasks
+    shared = spark.sparkContext.broadcast(leaves)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        for b in batches:
+            for a in range(0, b.num_rows, 2_048):
+                c = b.slice(a, 2_048)
+                bins = np.sort(t.best(_matrix(c.column(1).to_pylist()), t.visits), axis=1)
+                group = bins // t.size
+                start = np.ones(group.shape, bool)
+                start[:, 1:] = group[:, 1:] != group[:, :-1]
+                at = np.flatnonzero(start)
+                masks = np.bitwise_or.reduceat((1 << bins % t.size).ravel(), at)
+                row, group = at // bins.shape[1], group.ravel()[at]
+                again = t.parts[group]
+                to = np.repeat(np.arange(len(row)), again)
+                part = np.arange(len(to)) - np.repeat(np.cumsum(again) - again, again)
+                out = c.take(pa.array(row[to]))
+                numbers = [pa.array(n.astype(np.int32)) for n in (masks[to], group[to], part, again[to])]
+                yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), *numbers], names=["id", "v", "mask", "group", "part", "parts"])
+
+    placed = heads.mapInArrow(visit, "id long, v binary, mask int, group int, part int, parts int")
+    near = placed.groupBy("group", "part").applyInArrow(lambda t: _search_leaves(t, k, radius), "id long, other long, distance double")
+    best = Window.partitionBy("id").orderBy("distance", "other")  # a pair that shares leaves of several groups comes from each
+    return near.withColumn("rn", F.dense_rank().over(best)).where(F.col("rn") <= k).drop("rn").dropDuplicates(["id", "other"])
+
+
+def _radius_search(packed: DataFrame, k: int, radius: float, recall: float, dims: int, leaf_rows: int, sample_rows: int) -> DataFrame:
+    """As nearest_vectors with a radius. Equal vectors meet by a digest, so vectors are shuffled to their leaves only."""
+    hashed = packed.select("id", F.unhex(F.md5("v")).alias("h"))
+    size = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("w"))
+    total, copies, rest = size.agg(F.sum(F.least("w", F.lit(k + 1))), F.sum((F.col("w") > k + 1).cast("long")), F.sum(F.when(F.col("w") > k + 1, F.col("w")))).first()
+    if not copies:
+        return _near_vectors(packed, total or 0, k, radius, recall, dims, leaf_rows, sample_rows)
+    rank = Window.partitionBy("h").orderBy("id")
+    first = hashed.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= k + 1)  # a task sends on k + 1 rows of a vector at most
+    first = first.groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > k)
+    many = cut(first.join(size.where(F.col("w") > k + 1), "h").select("h", "w", F.slice("ids", 1, k).alias("others"), F.col("ids")[k].alias("last")))
+    last = many.select("h", "last")
+    heads = packed.withColumn("h", F.unhex(F.md5("v"))).join(F.broadcast(last) if copies <= BROADCAST_ROWS else last, "h", "left").where(F.expr("last IS NULL OR id <= last")).select("id", "v")
+    found = _near_vectors(heads, total, k, radius, recall, dims, leaf_rows, sample_rows)
+    others = lookup(hashed, many, "h", "w", rest, "id").where(F.col("id") > F.col("last"))
+    return found.unionByName(others.select("id", F.explode("others").alias("other"), F.lit(0.0).alias("distance")))
+
+
 def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 10, radius: float | None = None, recall: float = 0.99, dims: int = 64, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """For every usable vector the k nearest others: (id, other, distance), squared Euclidean, equal distances by smaller id.
 
@@ -272,11 +466,14 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, k: int = 10, radius
     Method: a k-means tree is fitted on a bounded sample and deepened where the sample is dense, so a leaf holds about `leaf_rows`
     whatever the density; the number of leaves to visit is widened on the sample until `recall` is reached. Each vector is sent to its
     first leaf as a member and to all its leaves as a question, once to each group of neighbouring leaves; leaves are searched by matrix
-    products with exact distances for what is near. Of equal vectors only the k + 1 smallest ids enter the tree: whatever is near to one of them has its k nearest among
+    products with exact distances for what is near. With a radius every vector is member and question of its few nearest leaves, and the
+    leaves are as many as two near vectors need to have one in common: far fewer copies travel, and nothing but digests else. Of equal vectors only the k + 1 smallest ids enter the tree: whatever is near to one of them has its k nearest among
     those. The others take their neighbours, the k smallest ids of their copies, by a lookup that splits hot keys.
     """
     spark = df.sparkSession
     packed = df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL").mapInArrow(lambda it: _pack(it, dims), "id long, v binary")
+    if radius is not None:
+        return _radius_search(packed, k, radius, recall, dims, leaf_rows, sample_rows)
     copies = Window.partitionBy("v").orderBy("id")
     heads = cut(packed.withColumn("rn", F.row_number().over(copies)).where(F.col("rn") <= k + 1))  # a task sends on k + 1 rows of a vector at most
     total = heads.count()
